@@ -26,7 +26,7 @@ WINDOW = 10
 AUTOMATON_BYTES = 8 << 20
 
 _TO_WORDS = bytes(b if b else 0x20 for b in common.word_table().tolist())
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as they stand in the original
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, hit_words binary"
 
 
