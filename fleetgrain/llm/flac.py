@@ -32,7 +32,7 @@ BLOCK = 8 * FRAME
 #: Order of the encoder's linear predictor, and bits of its coefficients.
 ORDER, PRECISION = 8, 10
 #: Payload bytes worked on at once.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 20
 
 # Generator polynomials of the two checksums; coefficients of the fixed predictors.
 CRC8, CRC16 = 0x07, 0x8005
@@ -83,7 +83,7 @@ def _linear(x: np.ndarray) -> tuple[np.ndarray, int]:
         a, err = new, err * (1 - g * g)
     shift = PRECISION - 3
     limit = (1 << (PRECISION - 1)) - 1
-    return np.clip(np.rint(a * (1 << shift)), -limit, limit).astype(np.int64), shift
+    return np.clip(np.rint(a * (1 << shift)), -limit, limit).astype(np.int32), shift
 
 
 def _residuals(x: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray | None, int]]:
@@ -129,21 +129,20 @@ def _frame_headers(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of each payload; lengths are positive multiples of FRAME."""
     frames = np.array([len(p) // FRAME for p in payloads])
-    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME).astype(np.int64) - 128
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME).astype(np.int32) - 128
     n = len(samples)
     first = np.cumsum(frames) - frames
     head, head_size = _frame_headers(np.arange(n) - np.repeat(first, frames))
     # the bits of each candidate: partitions of 144 residuals, each with its best Rice parameter
     candidates = []
     for d, order, coefficients, shift in _residuals(samples):
-        z = np.where(d < 0, -2 * d - 1, 2 * d)
+        z = (d << 1) ^ (d >> 31)
         parts = z.reshape(n, 4, FRAME // 4)
         count = np.full(4, FRAME // 4)
         count[0] -= order
-        cost = np.stack([(parts >> k).sum(2) + (k + 1) * count - 0 for k in range(9)])
-        # warm-up samples are zero in z and cost no unary bits; their k + 1 are left out through count
-        param = cost.argmin(0)
-        size = cost.min(0).sum(1) + 8 + 8 * order + 6 + 16 + (9 + PRECISION * order if coefficients is not None else 0)
+        # the parameter is that of a geometric distribution of the same mean; warm-up samples are zero in z and cost no unary bits
+        param = np.log2(np.maximum(parts.sum(2) / count * 0.7, 1)).astype(np.int32)
+        size = ((parts >> param[:, :, None]).sum(2) + (param + 1) * count).sum(1) + 8 + 8 * order + 6 + 16 + (9 + PRECISION * order if coefficients is not None else 0)
         candidates.append((size, z, param, order, coefficients, shift))
     sizes = np.stack([c[0] for c in candidates] + [np.full(n, 8 + 8 * FRAME)])
     choice = sizes.argmin(0)
@@ -197,9 +196,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         z, where = z.reshape(len(at), -1)[:, keep].ravel(), where[:, keep].ravel()
         stop = where + (z >> k)
         bits[stop] = 1
+        last = stop + k
         for b in range(int(k.max(initial=0))):
-            has = k > b
-            bits[stop[has] + k[has] - b] = z[has] >> b & 1
+            if b < int(k.min()):
+                bits[last - b] = z >> b & 1
+            else:
+                has = k > b
+                bits[last[has] - b] = z[has] >> b & 1
     out |= np.packbits(bits)
     crc = _crc(out, starts, ends - 2, _T16, 16)
     out[ends - 2], out[ends - 1] = crc >> 8, crc & 255
@@ -229,8 +232,8 @@ class _Bits:
         self.window = window
         ones = np.unpackbits(data)
         n = len(ones)
-        place = np.where(ones, np.arange(n, dtype=np.int32), np.int32(n))
-        self.next_one = np.append(np.minimum.accumulate(place[::-1])[::-1], np.int32(n))
+        at = np.append(np.flatnonzero(ones), n).astype(np.int32)
+        self.next_one = np.repeat(at, np.diff(at, prepend=np.int32(-1)))
 
     def read(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
         """Unsigned values of up to 32 bits."""

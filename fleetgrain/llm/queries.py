@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, simhash, tokens, toxicity
+from . import decontamination, flac, language, mixing, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
+    "op4_language": language.op4_language,
+    "op5_warc": warc.op5_warc,
+    "op6_media": flac.op6_media,
     "op8_tokens": tokens.op8_tokens,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op10_mixing": mixing.OP10_SQL}
+ORACLES = {"op5_warc": warc.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
