@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, language, mixing, simhash, tokens, toxicity, warc
+from . import decontamination, flac, language, mixing, pii, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language": language.op4_language,
     "op5_warc": warc.op5_warc,
     "op6_media": flac.op6_media,
+    "op7_pii": pii.op7_pii,
     "op8_tokens": tokens.op8_tokens,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
