@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, language, mixing, pii, simhash, tokens, toxicity, warc
+from . import decontamination, flac, language, mixing, pii, quotes, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
+    "op3_quotes": quotes.op3_quotes,
     "op4_language": language.op4_language,
     "op5_warc": warc.op5_warc,
     "op6_media": flac.op6_media,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op5_warc": warc.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLES = {"op3_quotes": quotes.OP3_SQL, "op5_warc": warc.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
