@@ -36,7 +36,7 @@ DISCOUNT = 2.0
 #: Log-likelihood differences of a word up to this much (a factor of e) count as none, larger ones for what exceeds it: languages
 #: and subjects are never shared equally by the classes of a sample.
 TOLERANCE = 1.0
-TABLE = 1 << 20
+TABLE = 1 << 18
 _SLOT = np.uint64(TABLE - 1)
 _WORDS = common.word_table(b"'")
 _START = np.uint64(0x5AFE)
@@ -70,7 +70,7 @@ def _shared_counts(documents: DataFrame) -> np.ndarray:
         counts = np.zeros(TABLE, np.int64)
         for batch in common.slices(batches):
             words, _, owner = _hashed(batch)
-            pairs = np.unique(owner.astype(np.uint64) << np.uint64(20) | words & _SLOT)
+            pairs = np.unique(owner.astype(np.uint64) * np.uint64(TABLE) | words & _SLOT)
             counts += np.bincount((pairs & _SLOT).astype(np.int64), minlength=TABLE)
         slots = np.flatnonzero(counts)
         for k in range(0, len(slots), 1 << 16):
@@ -134,6 +134,10 @@ class Model:
         self.mass_tag, self.mass = arrays(twice.groupBy("v").agg(*kept).select(F.col("v").alias("key"), "c0", "c1", left.alias("s")), "s", "v")
         self.shared = ((shared + 1) / (shared.sum() + TABLE)).astype(np.float32)
         self.curve: np.ndarray | None = None
+        self.shipped = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shipped": None}
 
     def evidence(self, words: np.ndarray, before: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood difference (toxic less ordinary) and length of each text."""
@@ -162,8 +166,9 @@ class Model:
         more = np.sign(more) * np.maximum(np.abs(more) - TOLERANCE, 0)
         return np.bincount(owner, more, texts) / np.maximum(n, 1), n
 
-    def score(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(mean, n) @ self.curve, -50, 50)))
+
+def _score(curve: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_features(mean, n) @ curve, -50, 50)))
 
 
 def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -225,6 +230,7 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
     model = Model(_bigrams(sample.where("not kept_out")), _shared_counts(documents))
     if set(model.seen) != {0, 1}:
         return share
+    model.shipped = documents.sparkSession.sparkContext.broadcast(model)  # once: the curve, found next, travels with the tasks
     rows = evidence(sample.where("kept_out"), model, ["toxic"]).toArrow()
     mean, n, y = (rows.column(c).to_numpy() for c in ("mean", "n", "toxic"))
     if len(set(y.tolist())) < 2:
@@ -239,7 +245,7 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
 
 def evidence(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """keep, with mean and n: the mean log-likelihood difference and the words of each text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.shipped, model.curve
     fields = [f for f in documents.select(*keep).schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", mean double, n long, score double"
 
@@ -247,7 +253,7 @@ def evidence(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         m = shared.value
         for batch in common.slices(batches):
             mean, n = m.evidence(*_hashed(batch), batch.num_rows)
-            score = m.score(mean, n) if m.curve is not None else np.zeros(len(n))
+            score = _score(curve, mean, n) if curve is not None else np.zeros(len(n))
             yield pa.RecordBatch.from_arrays([*(common.col(batch, c) for c in keep), pa.array(mean), pa.array(n), pa.array(score)], names=[*keep, "mean", "n", "score"])
 
     return documents.select(*keep, "text").mapInArrow(run, schema)
@@ -279,12 +285,12 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _filtered(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.shipped, model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in common.slices(batches):
             mean, n = m.evidence(*_hashed(batch), batch.num_rows)
-            yield batch.filter(pa.array(m.score(mean, n) < 0.5))
+            yield batch.filter(pa.array(_score(curve, mean, n) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
