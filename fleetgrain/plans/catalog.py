@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics
+from . import metrics, records
 
 QUERIES, ORACLES = {}, {}
-for _part in (metrics,):
+for _part in (metrics, records):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
