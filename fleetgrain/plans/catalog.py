@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics, records
+from . import metrics, records, streams
 
 QUERIES, ORACLES = {}, {}
-for _part in (metrics, records):
+for _part in (metrics, records, streams):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
