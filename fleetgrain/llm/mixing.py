@@ -5,14 +5,15 @@ shared again by weight (water filling, solved in closed form over the sources or
 e = target / source words, each document of a source is taken floor(e) times for certain and once more with inclusion
 probability p = e - floor(e). The extra copies are a Pareto order sample: documents are ranked by their random odds u / (1 - u)
 divided by their inclusion odds p / (1 - p), and the first of that order are taken, as many as the words left to the target
-allow; the one place left over goes to the untaken document whose size fits the remaining gap best, if taking it comes nearer.
+allow; up to FITS places left over go, one after the other, to the untaken document whose size fits the remaining gap best, if
+taking it comes nearer.
 
 u is a hash of the doc_id and a seed, so reruns agree on any partitioning. No source is sorted in one task: ranks are cut into
 bins, words are summed per (source, bin), the bin in which the target falls is found over those sums, and only the documents of
 that bin are ordered.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is hashed as the empty text.
-Repeated ids get the same u and are ordered by size; equal rows are interchangeable. Empty tables give empty results.
+Input columns named as those of the result are replaced. Repeated ids get the same u and are ordered by size; equal rows are interchangeable. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 4096
+#: Places given by size, after those given by rank.
+FITS = 3
 SEED = "mix"
 
 
@@ -73,7 +76,8 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     (source, bin) and the narrow rows of one bin per source are shuffled. What is joined to the documents is a row per source;
     it is joined with no hint, so Spark broadcasts it only below its own threshold and splits a hot source beyond it.
     """
-    own = [c for c in ("_size", "_p", "_whole", "_rank", "_bin", "_source") if c in documents.columns]
+    documents = documents.drop("size", "source_size", "target", "copies")  # of the result, not of the input
+    own = [c for c in ("_size", "_p", "_whole", "_rank", "_bin", "_source", "cut_bin", "gap", "last_rank", "fits") if c in documents.columns]
     if own:
         raise ValueError(f"documents has columns of this operator's own: {own}")
     narrow = common.stored(documents.select("doc_id", "source", words("text").alias("_size")), "mix-sizes")
@@ -90,24 +94,27 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     inside = inside.withColumn("sum", F.col("before") + F.sum("_size").over(run))
     last = inside.where("sum <= need").groupBy("source").agg(F.max("_rank").alias("last_rank"), F.max("sum").alias("reached"))
     edge = _with_source(cut, last).select("source", "cut_bin", (F.col("need") - F.coalesce("reached", "before")).alias("gap"), "last_rank")
-    edge = common.stored(edge, "mix-edges")
-    # the place left over: of what follows the edge, the rank whose words are nearest to the gap
+    # places left over: of what follows the edge, again and again the rank whose words are nearest to the gap
     after = (F.col("_bin") > F.col("cut_bin")) | ((F.col("_bin") == F.col("cut_bin")) & (F.col("last_rank").isNull() | (F.col("_rank") > F.col("last_rank"))))
-    rest = _with_source(ranked.select("source", "_size", "_rank", "_bin"), edge).where(after)
     off = F.abs(F.col("words") - F.col("gap"))
-    rest = rest.groupBy("source", "_rank").agg(F.sum("_size").alias("words"), F.first("gap").alias("gap")).where(off < F.col("gap"))
-    fit = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "_rank")).alias("fit")).select("source", F.col("fit._rank").alias("fit_rank"))
-    edge = common.stored(_with_source(edge, fit), "mix-order")
+    edge = edge.withColumn("fits", F.expr("cast(array() as array<double>)"))
+    for _ in range(FITS):
+        edge = common.stored(edge, "mix-edges")
+        rest = _with_source(ranked.select("source", "_size", "_rank", "_bin"), edge).where(after & ~F.array_contains("fits", F.col("_rank")))
+        rest = rest.groupBy("source", "_rank").agg(F.sum("_size").alias("words"), F.first("gap").alias("gap")).where(off < F.col("gap"))
+        fit = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "_rank", "words")).alias("fit"))
+        edge = _with_source(edge, fit).select("source", "cut_bin", "last_rank", F.when(F.col("fit").isNull(), 0.0).otherwise(F.col("gap") - F.col("fit.words")).alias("gap"), F.when(F.col("fit").isNull(), F.col("fits")).otherwise(F.array_append("fits", F.col("fit._rank"))).alias("fits"))
+    edge = common.stored(edge.drop("gap"), "mix-order")
     final = _with_source(_ranked(documents.withColumn("_size", words("text")), of_source, seed, bins), edge)
     extra = (
         F.when((F.col("_p") <= 0) | (F.col("_size") == 0), 0)
         .when(F.col("_bin") < F.col("cut_bin"), 1)
         .when((F.col("_bin") == F.col("cut_bin")) & (F.col("_rank") <= F.col("last_rank")), 1)
-        .when(F.col("_rank") == F.col("fit_rank"), 1)
+        .when(F.array_contains("fits", F.col("_rank")), 1)
         .otherwise(0)
     )
     copies = (F.col("_whole") + extra).cast("long").alias("copies")
-    return final.select(*[F.col(c) for c in documents.columns if c not in ("size", "source_size", "target", "copies")], F.col("_size").alias("size"), "source_size", "target", copies)
+    return final.select(*documents.columns, F.col("_size").alias("size"), "source_size", "target", copies)
 
 
 def _with_source(df: DataFrame, of_source: DataFrame) -> DataFrame:
@@ -147,8 +154,12 @@ r as (select *, floor(e)::bigint as whole, e - floor(e) as p, target - source_si
 c as (select *, sum(size) over (partition by source order by rnk range between unbounded preceding and current row) as upto from r where p > 0 and size > 0),
 g as (select source, any_value(need) as need, coalesce(max(case when upto <= need then rnk end), -1) as last_rank, coalesce(max(case when upto <= need then upto end), 0) as reached from c group by source),
 x as (select c.source, c.rnk, sum(size) as words, any_value(g.need - g.reached) as gap from c join g on c.source is not distinct from g.source where c.rnk > g.last_rank group by c.source, c.rnk),
-y as (select source, min({'off': abs(words - gap), 'rnk': rnk}).rnk as fit_rank from x where abs(words - gap) < gap group by source)
+y1 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x where abs(words - gap) < gap group by source, gap),
+x2 as (select x.source, x.rnk, x.words, y1.gap - y1.fit.words as gap from x join y1 on x.source is not distinct from y1.source where x.rnk <> y1.fit.rnk),
+y2 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x2 where abs(words - gap) < gap group by source, gap),
+x3 as (select x2.source, x2.rnk, x2.words, y2.gap - y2.fit.words as gap from x2 join y2 on x2.source is not distinct from y2.source where x2.rnk <> y2.fit.rnk),
+y3 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x3 where abs(words - gap) < gap group by source, gap)
 select doc_id, size, source_size, target,
-  (whole + case when p <= 0 or size = 0 then 0 when rnk <= g.last_rank then 1 when rnk = fit_rank then 1 else 0 end)::bigint * size as taken
-from r left join g on r.source is not distinct from g.source left join y on r.source is not distinct from y.source
+  (whole + case when p <= 0 or size = 0 then 0 when rnk <= g.last_rank then 1 when rnk = y1.fit.rnk or rnk = y2.fit.rnk or rnk = y3.fit.rnk then 1 else 0 end)::bigint * size as taken
+from r left join g on r.source is not distinct from g.source left join y1 on r.source is not distinct from y1.source left join y2 on r.source is not distinct from y2.source left join y3 on r.source is not distinct from y3.source
 """

@@ -12,7 +12,8 @@ passage or conversation that holds a large share of all rows is spread by (conve
 pre-aggregated and unique, so the join with it is a skewed equi-join at most, never a product.
 
 Nulls: a null text has no lines and stays null; null conv_id and turn match themselves. Rows of one (conv_id, turn) are one message for
-linking, and each is returned. Empty passages are no quotes. Empty tables give empty results. Extra columns are kept.
+linking, and each is returned. Empty passages are no quotes. Empty tables give empty results. Extra columns are kept;
+input columns named as those of the result are replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def without_quotes(text: str) -> Column:
 
 def linked(conversations: DataFrame) -> DataFrame:
     """conversations (all columns, text without quotes) with reply_to_conv, reply_to_turn, n_quotes and n_linked."""
-    messages = conversations
+    messages = conversations.drop("reply_to_conv", "reply_to_turn", "n_quotes", "n_linked")  # of the result, not of the input
     cut = messages.select("conv_id", "turn", F.posexplode(passages("text")).alias("place", "p")).select("conv_id", "turn", "place", F.col("p.level").alias("level"), F.md5(F.col("p.body").cast("binary")).alias("hash")).distinct()
     cut = common.stored(cut, "quote-passages")
     originals = cut.where("level = 0").select("conv_id", "turn", "hash").distinct()
@@ -65,7 +66,7 @@ def linked(conversations: DataFrame) -> DataFrame:
     out = messages.join(of, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
     out = out.join(before, F.col("conv_id").eqNullSafe(F.col("_bc")) & (F.col("turn") == F.col("_bt")), "left")
     quoted, previous = F.col("to").isNotNull(), F.col("_bt").isNotNull()
-    kept = [without_quotes("text").alias("text") if c == "text" else F.col(c) for c in messages.columns if c not in ("reply_to_conv", "reply_to_turn", "n_quotes", "n_linked")]
+    kept = [without_quotes("text").alias("text") if c == "text" else F.col(c) for c in messages.columns]
     return out.select(
         *kept,
         F.when(quoted, F.col("to.conv_id")).when(previous, F.col("conv_id")).alias("reply_to_conv"),
