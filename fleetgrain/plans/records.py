@@ -567,3 +567,61 @@ def j8_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     before = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("v"))
     after = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("v"))
     return evidence.snapshot_diff(before, after)
+
+
+# ---- small ones, and round trips through files ----------------------------------------------------------------------
+
+
+@query("select event_id, case when event_id % 9 in (0, 1, 2) then 'FATAL' when event_id % 9 = 3 then 'ERROR' when event_id % 9 = 4 then 'WARN' when event_id % 9 in (5, 6) then 'INFO' when event_id % 9 = 7 then 'DEBUG' else '' end as severity from events")
+def h8_severity(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "events").select("event_id", scalars.severity((F.col("event_id") % 9).cast("string")).alias("severity"))
+
+
+@query(r"select doc_id, md5(case doc_id % 4 when 0 then text when 1 then text when 2 then text when 3 then text || chr(13) end) as line from documents where not ends_with(text, chr(10)) and not ends_with(text, chr(13))")
+def h6_strip_eol(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with no, a plain, a Windows and a doubled line end; of the last, one carriage return stays."""
+    t = tables.table(spark, d, "documents").where(~F.col("text").rlike("[\r\n]\\z"))
+    ends = F.element_at(F.array(*map(F.lit, ("", "\n", "\r\n", "\r\r\n"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.select("doc_id", F.md5(scalars.strip_eol(F.concat("text", ends)).cast("binary")).alias("line"))
+
+
+@query("select o_custkey, o_orderkey from (select o_custkey, o_orderkey from orders where o_orderkey % 2 = 0 except all select o_custkey, o_orderkey from orders where o_orderkey % 3 = 0)")
+def u3_capability_sets(spark: SparkSession, d: str) -> DataFrame:
+    o = tables.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return o.where("o_orderkey % 2 = 0").exceptAll(o.where("o_orderkey % 3 = 0"))
+
+
+@query("select doc_id, text <> '' and strlen(text) <= 1048576 as kept from documents")
+def p8_reject_records(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "documents").select("doc_id", logs.valid_record("text").alias("kept"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"with {_JOURNAL} select cursor, body from j")
+def s2_read_journal_export(spark: SparkSession, d: str) -> DataFrame:
+    """The journal written as lines of JSON, read and parsed."""
+    path = _folder(spark, "journal")
+    journal(spark, d).select("value").write.text(path)
+    lines, _ = files.read_journal_export(spark, path)
+    return logs.parse_journal(lines.withColumn("fallback_us", F.lit(0).cast("long"))).where("ok").select("cursor", "body")
+
+
+@query(f"with {_SAMPLES} select entity_id, metric_id, observed_us, value from samples where observed_us >= 1704067200000000 + 3 * 86400000000 and observed_us < 1704067200000000 + 4 * 86400000000")
+def s8_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The fact table written by day, and one day read back."""
+    import datetime
+
+    path = _folder(spark, "samples")
+    files.write_samples(samples(spark, d).withColumn("observed_at", F.timestamp_micros("observed_us")), path)
+    day = datetime.datetime(2024, 1, 4, tzinfo=datetime.UTC)
+    return files.read_samples(spark, path, day, day + datetime.timedelta(days=1)).select("entity_id", "metric_id", "observed_us", "value")

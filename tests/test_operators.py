@@ -163,3 +163,35 @@ def test_log_documents_round_trip(spark):
     got = otlp.flatten_logs(df.select(doc.alias("payload"))).orderBy("time_nano").collect()
     assert got[0].attributes["log.file.record_end_offset"] == "3" and got[0].attributes["log.file.name"] == "a.log" and "e" not in got[0].attributes
     assert got[1].scope == "fleet.journald" and got[1].resource["service.name"] == "svc" and "log.file.path" not in got[1].attributes
+
+
+def test_log_files_of_a_folder(spark, tmp_path):
+    for name in ("b.log", "a.log", "c.txt", "old.log"):
+        (tmp_path / name).write_text(f"{name}\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.log").write_text("x\n")
+    got = files.read_log_files(spark, f"file://{tmp_path}/*", ["*.log"], ["old*"], 1).collect()
+    assert [(r.relative_path, bytes(r.content)) for r in got] == [("a.log", b"a.log\n")]
+
+
+def test_spool_goes_on_from_its_base(spark, tmp_path):
+    base = spark.createDataFrame([("s", 4)], "scope string, seq long")
+    new = files.spooled(spark.createDataFrame([("s", "{}", 2), ("s", "[]", 1), ("t", "1", 1)], "scope string, payload string, arrival long"), base)
+    files.write_spool(new, f"file://{tmp_path}/spool")
+    got = sorted((r.scope, r.seq, r.payload, r.name) for r in files.read_spool(spark, f"file://{tmp_path}/spool").collect())
+    assert got == [("s", 5, "[]", "5".zfill(20)), ("s", 6, "{}", "6".zfill(20)), ("t", 1, "1", "1".zfill(20))]
+
+
+def test_counter_window_shuffles_once(spark, small):
+    from fleetgrain.sources import tables
+
+    plan = counters.cpu_used_pct(tables.counter_samples(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_caps_do_not_shuffle(spark, small):
+    from fleetgrain.sources import tables
+
+    snapshots = tables.snapshots(spark, small)
+    one, two = (df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (snapshots, reshape.snapshot_points(snapshots)))
+    assert one == two
