@@ -290,9 +290,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (packed, with the end id) of each document."""
+def encoded(documents: DataFrame, path: str, end_id: int = END_ID, bounds: list[float] | None = None) -> DataFrame:
+    """doc_id, bucket (how many of the ascending bounds are below the doc_id, plus 1; null: 0), ids (packed, with the end id)."""
     common.small_batches(documents.sparkSession)
+    limits = np.array(bounds or [], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -301,25 +302,29 @@ def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             ids, counts = enc.documents(data, at)
             upto = np.append(0, np.cumsum(counts))
             rows = [packed(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([common.col(batch, "doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+            docs = common.col(batch, "doc_id")
+            bucket = np.searchsorted(limits, docs.fill_null(0).to_numpy().astype(np.float64)) + 1
+            bucket[docs.is_null().to_numpy(zero_copy_only=False)] = 0
+            yield pa.RecordBatch.from_arrays([docs, pa.array(bucket.astype(np.int32)), pa.array(rows, pa.binary())], names=["doc_id", "bucket", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, ids binary")
 
 
 def write_shards(documents: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> None:
-    """Writes the shard table: (part, shard, first_doc, documents, tokens, file), ordered by doc_id over part and shard.
+    """Writes the shard table: (part, shard, documents, tokens, file), ordered by doc_id over part and shard.
 
-    One shuffle, of the compressed ids, by ranges of doc_id; within a range, documents are sorted and cut into shards.
+    Parts are ranges of doc_id between quantiles, which a scan of that column alone finds. One shuffle, of the compressed ids, by
+    part (several a task); within a part, documents are sorted and cut into shards.
     """
     spark = documents.sparkSession
-    rows = common.stored(encoded(documents, tokenizer, end_id), "token-ids")  # else the texts would be encoded once more to sample ranges
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * tasks
+    bounds = documents.select(F.col("doc_id").cast("double").alias("doc_id")).where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)
+    rows = encoded(documents, tokenizer, end_id, sorted(set(bounds)))
+    ordered = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard = -1, 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
@@ -329,11 +334,13 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, shard_tokens:
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "null_ids": [nulls], "documents": [len(held)], "tokens": [size], "file": [file]}, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("null_ids", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
-            for doc, data in zip(common.col(batch, "doc_id").to_pylist(), common.col(batch, "ids"), strict=True):
+            for doc, bucket, data in zip(common.col(batch, "doc_id").to_pylist(), common.col(batch, "bucket").to_pylist(), common.col(batch, "ids"), strict=True):
                 ids = unpacked(data.as_py())
-                if held and size + len(ids) > shard_tokens:
+                if held and (bucket != part or size + len(ids) > shard_tokens):
                     yield flush()
                     shard, held, size = shard + 1, [], 0
+                if bucket != part:
+                    part, shard = bucket, 0
                 held.append((doc, ids))
                 size += len(ids)
         if held:
