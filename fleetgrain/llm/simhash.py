@@ -11,6 +11,9 @@ A task does not return the pairs it finds but a spanning forest of them (at most
 near copies makes no square number of rows. The forests are joined by label exchange between the edges' ends (large star and
 small star), each round written to the shared folder.
 
+The pipeline's stage has a rule of its own, five-word shingles at a Jaccard similarity of 0.8 or more, which 64-bit fingerprints
+find too seldom: see near_copies.
+
 Nulls: a null text has no words; a null doc_id is kept with its fingerprint and never names a component (a component of null
 ids only has a null component_id). Texts without words have fingerprint zero and are linked like any other. Repeated rows get
 equal results. Empty tables give empty results. Other columns are not read.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -253,10 +256,128 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# ---- the pipeline's stage -------------------------------------------------------------------------------------------
+
+#: Fixed values of the stage: near copies have a Jaccard similarity of SIMILAR or more over their sets of STAGE_SHINGLE-word shingles.
+STAGE_SHINGLE = 5
+SIMILAR = 0.8
+#: Bands of the min-hash signature and values in each: two texts of similarity s share a band with odds 1 - (1 - s^WIDTH)^BANDS.
+BANDS = 20
+WIDTH = 5
+#: Members of a band's bucket that follow one, in the order of the next band's values, with which it is compared.
+FOLLOWERS = 8
+#: Bands of which the nearest follower is compared first; what that joins needs no other comparison.
+FIRST_BANDS = 4
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_TURN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * WIDTH), np.uint64) | np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each document, as ascending hashes, and where each document's start (one more entry).
+
+    A document of fewer words, but not none, has one shingle.
+    """
+    starts, ends = common.word_spans(_IN_WORD[data], at)
+    words = common.span_hashes(_LOWER[data], starts, ends)
+    owner = np.searchsorted(at, starts, "right") - 1
+    docs = len(at) - 1
+    h = np.zeros(len(words), np.uint64)
+    for k in range(shingle):
+        word = np.zeros(len(words), np.uint64)
+        inside = owner[k:] == owner[: len(owner) - k]
+        word[: len(inside)][inside] = words[k:][inside]
+        h = common.mixed(h * np.uint64(0x9E3779B185EBCA87) + word)
+    first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    whole = np.zeros(len(words), bool)
+    whole[: max(0, len(words) - shingle + 1)] = owner[shingle - 1 :] == owner[: max(0, len(owner) - shingle + 1)]
+    keep = whole | first
+    h, owner = h[keep], owner[keep]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+    return h[once], np.searchsorted(owner[once], np.arange(docs + 1))
+
+
+def _sketches(documents: DataFrame) -> DataFrame:
+    """_row, doc_id, same (a hash of the whole shingle set) and bands (key, tail) of each document; no bands without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            h, at = shingle_sets(*common.raw(common.utf8(common.col(batch, "text"))))
+            full = np.flatnonzero(at[1:] > at[:-1])
+            same = np.zeros(len(at) - 1, np.uint64)
+            offsets = np.zeros(len(at), np.int32)
+            keys = tails = np.zeros(0, np.uint64)
+            if len(full):
+                heads = at[full]
+                same[full] = common.mixed(np.add.reduceat(common.mixed(h ^ np.uint64(SEED)), heads) + (at[full + 1] - heads).astype(np.uint64))
+                least = np.stack([np.minimum.reduceat(((h ^ x) * y) >> np.uint64(32), heads) for x, y in _TURN.T]).reshape(BANDS, WIDTH, -1)
+                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], (BANDS, len(full)))
+                for k in range(WIDTH):
+                    key = common.mixed(key * np.uint64(0x9E3779B185EBCA87) + least[:, k])
+                tail = np.roll(least, -1, 0)
+                keys, tails = key.T.ravel(), (tail[:, 0] << np.uint64(32) | tail[:, 1]).T.ravel()
+                offsets[full + 1] = BANDS
+                offsets = np.cumsum(offsets, dtype=np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(tails.view(np.int64))], names=["key", "tail"])
+            yield pa.RecordBatch.from_arrays([common.col(batch, "_row"), common.col(batch, "doc_id"), pa.array(same.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["_row", "doc_id", "same", "bands"])
+
+    return documents.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, same long, bands array<struct<key:long,tail:long>>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """same and its shingles, from (same, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            h, at = shingle_sets(*common.raw(common.utf8(common.col(batch, "text"))))
+            yield pa.RecordBatch.from_arrays([common.col(batch, "same"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["same", "shingles"])
+
+    return texts.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """_row, doc_id and group of each document (_row, doc_id, text): near copies, or chains of them, are of one group.
+
+    Equal shingle sets are one node. Nodes that share a band of their signatures are candidates: each with the FOLLOWERS after
+    it in its bucket, so a large bucket makes no square number of rows. Candidates are confirmed by the exact similarity of
+    their shingle sets, in equi-joins. Documents without words are equal.
+    """
+    common.small_batches(documents.sparkSession)
+    rows = common.stored(_sketches(documents), "near-sketches")
+    nodes = common.stored(rows.where("size(bands) > 0").groupBy("same").agg(F.min("_row").alias("_row"), F.first("bands").alias("bands")), "near-nodes")
+    after = Window.partitionBy("key").orderBy("tail", "same").rowsBetween(1, FOLLOWERS)
+    banded = nodes.select("same", F.posexplode("bands").alias("band", "b")).select("same", "band", "b.key", "b.tail")
+    followed = banded.withColumn("next", F.collect_list("same").over(after)).where("size(next) > 0").select("same", "band", F.posexplode("next").alias("nth", "other"))
+    soon = (F.col("nth") == 0) & (F.col("band") < FIRST_BANDS)
+    pairs = common.stored(followed.groupBy(F.least("same", "other").alias("u"), F.greatest("same", "other").alias("v")).agg(F.max(soon).alias("soon")), "near-pairs")
+    held = pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct().join(nodes.select("same", "_row"), "same")
+    sets = common.stored(_sets(documents.select("_row", "text").join(held, "_row")), "near-sets")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        left = sets.select(F.col("same").alias("u"), F.col("shingles").alias("a"))
+        right = sets.select(F.col("same").alias("v"), F.col("shingles").alias("b"))
+        shared = F.size(F.array_intersect("a", "b"))
+        return some.join(left, "u").join(right, "v").where(shared / (F.size("a") + F.size("b") - shared) >= SIMILAR).select("u", "v")
+
+    links = common.stored(confirmed(pairs.where("soon")), "near-links")
+    root = common.stored(components(links), "near-roots")
+    of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
+    apart = pairs.where("not soon").join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    more = common.stored(confirmed(apart.select("u", "v")), "near-links")
+    root = components(links.union(more)).withColumnRenamed("node", "same")
+    return rows.join(root, "same", "left").select("_row", "doc_id", F.coalesce("root", "same").alias("group"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate component the document with the smallest doc_id stays, once.
+    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays, once.
 
-    A document without a doc_id can't be named by its component and doesn't stay. Of rows with one doc_id, one stays.
+    A document without a doc_id doesn't stay. Of rows with one doc_id, one stays.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = common.stored(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    kept = near_copies(rows).groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)

@@ -141,6 +141,29 @@ def test_simhash_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def _shingled(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_stage_joins_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        w = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(w))
+        for cut in (0.03, 0.1, 0.11, 0.3):  # a head of other words
+            k = int(len(w) * cut)
+            texts.append(" ".join([f"x{rng.random()}" for _ in range(k)] + w[k:]))
+    sets = [_shingled(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    f = simhash.Forest(len(sets))
+    f.add(*np.array(pairs).T)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.one_of_each_group(spark, rows, "").collect()
+    assert len(pairs) > 200 and sorted(r.doc_id for r in kept) == sorted(set(f.root.tolist()))
+
+
 # ---- 3
 
 
