@@ -4,7 +4,7 @@ Words are the runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 are a pattern (an item of fewer words, but not none, is one pattern). The automaton's alphabet is the vocabulary of the
 benchmark: a text is read once, each word becomes its number (0 if no item has it) and the automaton walks the numbers.
 
-Nulls: a null text has no words, a null item_id is ignored. Repeated items and repeated documents each count as a row; items
+Nulls: a null text has no words; an item of a null item_id is looked for and counts as hit words, but isn't in the list of items. Repeated items and repeated documents each count as a row; items
 with the same id count once in a document's item list. Empty tables give empty results. Other columns are not read.
 """
 
@@ -39,7 +39,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 class Automaton:
     """Patterns of word numbers, each with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
@@ -47,7 +47,9 @@ class Automaton:
         for item, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                patterns.setdefault(tuple(words[i : i + window]), set()).add(item)
+                held = patterns.setdefault(tuple(words[i : i + window]), set())
+                if item is not None:
+                    held.add(item)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, held in patterns.items():
             self.machine.add_word(key, (len(key), sorted(held)))
@@ -91,7 +93,11 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
 _BUILT: dict[str, Automaton] = {}
 
 
-def _scan_all(documents: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+def _in_order(rows: list) -> list[tuple[str | None, bytes]]:
+    return sorted(((r.item, bytes(r.text)) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+
+def _scan_all(documents: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(items)
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
@@ -126,15 +132,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = documents.sparkSession
     common.small_batches(spark)
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // automaton_bytes) or 1
     if parts == 1:
-        return _scan_all(documents, sorted((r.item, bytes(r.text)) for r in items.collect()), window).drop("hit_words")
+        return _scan_all(documents, _in_order(items.collect()), window).drop("hit_words")
     kept = common.stored(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontamination")
     found = []
     for part in range(parts):
-        held = sorted((r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect())
+        held = _in_order(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect())
         # the row's number stands in for doc_id, so that repeated ids stay apart
         found.append(_scan_all(kept.select(F.col("row").alias("doc_id"), "text"), held, window))
     union = found[0]
@@ -175,7 +181,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without any benchmark window, whole."""
-    found = contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.col("n_hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti").select(docs.columns)
+    """Pipeline stage: the rows without any benchmark window, whole."""
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+    # the row's number stands in for doc_id, so that only the rows hit are dropped
+    found = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    hit = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_row"))
+    return rows.join(hit, "_row", "left_anti").select(docs.columns)

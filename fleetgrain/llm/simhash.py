@@ -374,10 +374,10 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays, once.
+    """Pipeline stage: of each group of near copies the first row by doc_id (nulls last) stays.
 
-    A document without a doc_id doesn't stay. Of rows with one doc_id, one stays.
+    Rows decide, not ids: different texts of one doc_id, or of none, are each kept or dropped by their own group.
     """
-    rows = common.stored(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    kept = near_copies(rows).groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("k")).select("k._row")
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    kept = near_copies(rows).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select("k._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)

@@ -387,6 +387,22 @@ def test_contamination_spans_parts_and_odd_rows(spark, odd, none):
     assert decontamination.contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_stages_decide_by_row(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(6)]
+    bench = spark.createDataFrame([(1, texts[0]), (None, texts[3])], "item_id long, text string")
+    path = common.fresh_path(spark, "bench")
+    bench.write.parquet(f"{path}/benchmark.parquet")
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[3]), (None, texts[4]), (None, texts[4]), (9, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {(r.doc_id, r.text) for r in simhash.one_of_each_group(spark, docs, "").collect()}
+    assert once == set(rows) - {(None, texts[5])} and simhash.one_of_each_group(spark, docs, "").count() == len(once)
+    clean = decontamination.decontaminated(spark, docs, path).collect()
+    assert sorted(map(str, clean)) == sorted(map(str, docs.where(~F.col("text").isin(texts[0], texts[3])).collect()))
+    listed = {tuple(r["items"]) for r in decontamination.contamination(docs.where(F.col("text") == texts[3]), bench).collect()}
+    assert listed == {()}
+
+
 # ---- 10
 
 
