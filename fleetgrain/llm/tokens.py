@@ -10,8 +10,8 @@ width in bits, count, chunks (uint8 or uint16), bitmap and directory (uint32). S
 written by Spark, so the commit is Spark's: an attempt of a lost executor leaves nothing behind.
 
 Tokenising: text is cut where the tokenizer's own pre-tokenizer is sure to cut (before a run of white space, between letters or
-digits and punctuation), equal pieces are encoded once per worker and the ids are put back in place. The result equals that of
-encoding whole texts.
+digits and punctuation) and around the file's added tokens, equal pieces are encoded once per worker and the ids are put back in place. The result equals that of
+encoding whole texts with the tokenizer as its file has it (add_special_tokens=False).
 
 Nulls: a null text is the empty text (only the end id); a null doc_id sorts first. Repeated doc_ids follow each other, ordered by
 their ids' bytes. Empty tables give an empty result. Other columns are not read.
@@ -19,6 +19,7 @@ their ids' bytes. Empty tables give an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -203,16 +204,27 @@ def _letters(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes documents; pieces seen before come from a bounded cache."""
+    """Encodes documents; pieces seen before come from a bounded cache.
 
-    def __init__(self, path: str):
+    With special, the tokenizer stays as it is loaded: each occurrence of one of its added tokens is a piece of its own. Without,
+    such a string is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such a string in a text is ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        for token in added.values():
+            if token.lstrip or token.rstrip or token.single_word or (token.normalized and self.tokenizer.normalizer is not None):
+                raise ValueError(f"an added token that reaches beyond its own text: {token.content}")
+        # the leftmost occurrence, and of those at one place the longest, as the tokenizer has it
+        forms = sorted((t.content.encode() for t in added.values()), key=len, reverse=True)
+        self.find_added = re.compile(b"|".join(map(re.escape, forms))) if forms else None
         self.clear()
 
     def clear(self) -> None:
@@ -238,12 +250,30 @@ class Encoder:
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         return order, np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
 
+    def _starts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where pieces start; an added token is one."""
+        spans = [m.span() for m in self.find_added.finditer(data.tobytes())] if self.find_added else []
+        if spans:
+            # none across two documents; a scan of each document finds what such a one hid
+            inner = at[(at > 0) & (at < len(data))]
+            if any(np.searchsorted(inner, a, "right") != np.searchsorted(inner, b, "left") for a, b in spans):
+                spans = [(a + m.start(), a + m.end()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for m in self.find_added.finditer(data[a:b].tobytes())]
+        if not spans:
+            return piece_starts(data, at)
+        edges = np.array(spans, np.int64)
+        # the text between added tokens is encoded as if it stood alone
+        cuts = np.unique(np.concatenate([at, edges.ravel()]))
+        starts = piece_starts(data, cuts)
+        held = np.searchsorted(edges[:, 1], starts, "right")
+        inside = (held < len(edges)) & (starts > edges[np.minimum(held, len(edges) - 1), 0])
+        return starts[~inside]
+
     def documents(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice, and how many each has."""
         docs = len(at) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
-        starts = piece_starts(data, at)
+        starts = self._starts(data, at)
         ends = np.append(starts[1:], len(data))
         keys, where, back = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
@@ -276,7 +306,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special=True)
     return _ENCODERS[path]
 
 

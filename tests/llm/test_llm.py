@@ -329,6 +329,23 @@ def test_pieces_of_odd_texts():
         assert ids[upto[k] : upto[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_encoded_as_the_file_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    rng = random.Random(9)
+    parts = ["a", "B", "é", " ", "  ", "\n", "'s", "1", "日本", ".", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|>"]
+    texts = ["one<|endoftext|>two", "x<|endof", "text|>y", "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    data, at = common.raw(common.utf8(pa.array(texts)))
+    ids, counts = tokens.encoder(public_tokenizers.path(tokens.TOKENIZER)).documents(data, at)
+    upto = np.append(0, np.cumsum(counts))
+    for k, t in enumerate(texts):
+        assert ids[upto[k] : upto[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    got = {r.doc_id: r for r in tokens.token_files(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")).collect()}
+    assert (got[0].n_tokens, got[0].ids_crc32, got[1].start) == (4, zlib.crc32(np.array([505, 50256, 11545, 0], "<u4").tobytes()), 4)
+
+
 @pytest.mark.parametrize("widths", [(8, 8, 8, 8), (12, 4, 16), (16, 16)])
 def test_any_token_is_read_alone(widths):
     rng = np.random.default_rng(0)
