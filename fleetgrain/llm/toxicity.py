@@ -8,10 +8,11 @@ common elsewhere. A text's evidence is the difference of the two log-likelihoods
 that (and over it times the root of the length, which says how sure the mean is), fitted on labelled rows kept out of the
 counts, makes it a score.
 
-Learning: labelled rows come in as (doc_id, toxic). Of each class as many rows as the
-smaller one has, at most ``class_rows`` (the least by a hash of doc_id), are read, a bound that keeps the broadcast model small; a fifth of them serve the calibration only. The shared counts cover
-every document. All counting is Spark aggregation; words are 64-bit hashes in tables of TABLE slots, each slot keeping the
-word that is counted most in it, so the model's size is fixed whatever the corpus.
+Learning: labelled rows come in as (doc_id, toxic). Of each class at most ``class_rows`` (the least by a hash of doc_id) are
+read, a bound that keeps the broadcast model small; a fifth of them serve the calibration only, which brings the odds back to those
+of all labels. The shared counts cover every document. All counting is Spark aggregation; words are 64-bit hashes. A count that
+the discount takes whole (DISCOUNT squared or less, in both classes) leaves nothing in the model, so such bigrams and words need no
+row; all others are held, in sorted arrays. For a word without a row the shared estimate is the same factor in both classes and cancels.
 
 Nulls: a null or wordless text has length 0 and the score of no evidence; null labels are not learned from; a null doc_id is
 scored but never learned from. Repeated rows are scored alike. Without labels of both classes every score is the share of toxic
@@ -36,8 +37,6 @@ DISCOUNT = 2.0
 #: Log-likelihood differences of a word up to this much (a factor of e) count as none, larger ones for what exceeds it: languages
 #: and subjects are never shared equally by the classes of a sample.
 TOLERANCE = 1.0
-TABLE = 1 << 18
-_SLOT = np.uint64(TABLE - 1)
 _WORDS = common.word_table(b"'")
 _START = np.uint64(0x5AFE)
 
@@ -63,24 +62,37 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, before, owner
 
 
-def _shared_counts(documents: DataFrame) -> np.ndarray:
-    """For each slot, in how many documents one of its words occurs."""
+def _place(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of keys stands in the ascending of, and whether it does."""
+    if not len(of):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+    return at, of[at] == keys
+
+
+def _shared_counts(documents: DataFrame, words: np.ndarray) -> np.ndarray:
+    """In what share of all occurrences (a word in a document, once) each of words, ascending, is the word."""
+    known = documents.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TABLE, np.int64)
+        of = known.value
+        counts, total = np.zeros(len(of), np.int64), 0
         for batch in common.slices(batches):
             words, _, owner = _hashed(batch)
-            pairs = np.unique(owner.astype(np.uint64) * np.uint64(TABLE) | words & _SLOT)
-            counts += np.bincount((pairs & _SLOT).astype(np.int64), minlength=TABLE)
-        slots = np.flatnonzero(counts)
-        for k in range(0, len(slots), 1 << 16):
-            s = slots[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s])], names=["slot", "n"])
-
-    rows = documents.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TABLE, np.float64)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return out
+            _, once = np.unique(common.mixed(owner.astype(np.uint64)) ^ words, return_index=True)
+            at, has = _place(words[once], of)
+            counts += np.bincount(at[has], minlength=len(of))
+            total += len(once)
+        places = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], names=["place", "n"])
+        for k in range(0, len(places), 1 << 16):
+            s = places[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s])], names=["place", "n"])
+
+    rows = documents.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words) + 1, np.float64)
+    out[rows.column("place").to_numpy()] = rows.column("n").to_numpy()  # the total at -1, the last
+    return np.maximum(out[:-1], 1) / max(1.0, out[-1])
 
 
 def _bigrams(sample: DataFrame) -> DataFrame:
@@ -97,44 +109,54 @@ def _bigrams(sample: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The counts, in arrays by slot; row 0 of a pair is the ordinary class, row 1 the toxic one."""
+    """The counts, in arrays by ascending key; row 0 of a pair is the ordinary class, row 1 the toxic one."""
 
-    def __init__(self, bigrams: DataFrame, shared: np.ndarray, discount: float = DISCOUNT):
+    def __init__(self, bigrams: DataFrame, documents: DataFrame, discount: float = DISCOUNT):
         grams = common.stored(bigrams, "toxicity-bigrams")
-        slot = F.expr(f"w & {TABLE - 1}")
-        left = F.expr(f"v & {TABLE - 1}")
         ones = grams.groupBy("kind").agg(F.count("*").alias("types")).collect()
         self.seen = {r.kind: r.types for r in ones}
         self.discount = discount
+        self.curve: np.ndarray | None = None
+        self.shipped = None
+        if set(self.seen) != {0, 1}:
+            return
         per = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in (0, 1)]
         conts = [F.count_if(F.col("kind") == k).alias(f"c{k}") for k in (0, 1)]
-
-        def arrays(df: DataFrame, at: str, key: str) -> tuple[np.ndarray, np.ndarray]:
-            """Of each slot the key with the largest counts: its hash and its two counts."""
-            best = df.groupBy(at).agg(F.max_by(F.struct("key", "c0", "c1"), F.struct(F.expr("c0 + c1"), "key")).alias("b")).select(at, "b.*").toArrow()
-            tag, counts = np.zeros(TABLE, np.uint64), np.zeros((2, TABLE), np.float32)
-            place = best.column(at).to_numpy()
-            tag[place] = best.column("key").to_numpy().view(np.uint64)
-            counts[0, place], counts[1, place] = best.column("c0").to_numpy(), best.column("c1").to_numpy()
-            return tag, counts
-
+        holds = F.greatest("c0", "c1") > discount**2
+
+        def counts(rows: pa.Table, order: np.ndarray) -> np.ndarray:
+            return np.stack([rows.column(c).to_numpy()[order] for c in ("c0", "c1")]).astype(np.float32)
+
+        def by(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+            keys = rows.column(key).to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            return keys[order], order
+
+        # bigrams that the discount leaves something of
+        pairs = common.stored(grams.groupBy("v", "w").agg(*per).where(holds), "toxicity-pairs")
+        rows = pairs.toArrow()
+        v, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+        key = _pair_hash(v, w)
+        order = np.argsort(key)
+        self.pair_key, self.pairs = key[order], counts(rows, order)
+        # how often the word before stands as one, and how much of that its bigrams keep
+        lefts = grams.join(pairs.select("v").distinct(), "v").groupBy("v").agg(*per).toArrow()
+        self.left_key, order = by(lefts, "v")
+        self.lefts, self.mass = counts(lefts, order), np.zeros((2, len(order)))
+        place = np.searchsorted(self.left_key, v[np.argsort(key)])
+        for k in (0, 1):
+            np.add.at(self.mass[k], place, np.maximum(self.pairs[k] - discount * np.sqrt(self.pairs[k]), 0))
         # in how many left contexts a word stands
-        words = grams.groupBy("w").agg(*conts).select(F.col("w").alias("key"), "c0", "c1", slot.alias("s"))
-        self.word_tag, self.contexts = arrays(words, "s", "w")
+        words = common.stored(grams.groupBy("w").agg(*conts), "toxicity-words")
+        rows = words.where(holds).toArrow()
+        found, order = by(rows, "w")
+        self.word_key = np.union1d(found, w)
+        self.contexts = np.zeros((2, len(self.word_key)), np.float32)
+        self.contexts[:, np.searchsorted(self.word_key, found)] = counts(rows, order)
         # what the discount leaves to the shared distribution
-        left_over = words.agg(*[F.sum(F.least(F.col(f"c{k}").cast("double"), self.discount * F.sqrt(f"c{k}"))).alias(f"c{k}") for k in (0, 1)]).first()
-        self.spare = {k: (left_over[k] or 0) / n for k, n in self.seen.items()}
-        # how often a word is a left context
-        self.left_tag, self.lefts = arrays(grams.groupBy("v").agg(*per).select(F.col("v").alias("key"), "c0", "c1", left.alias("s")), "s", "v")
-        # bigrams that occur twice at least; those seen once are left to the backoff
-        pair = F.expr("xxhash64(v, w)")
-        twice = grams.groupBy("v", "w").agg(*per, F.sum("n").alias("n")).where("n > 1").select(pair.alias("key"), "c0", "c1", "v").withColumn("s", F.expr(f"key & {TABLE - 1}"))
-        self.pair_tag, self.pairs = arrays(twice, "s", "pair")
-        kept = [F.sum(F.greatest(F.col(f"c{k}") - self.discount * F.sqrt(f"c{k}"), F.lit(0.0))).alias(f"c{k}") for k in (0, 1)]
-        self.mass_tag, self.mass = arrays(twice.groupBy("v").agg(*kept).select(F.col("v").alias("key"), "c0", "c1", left.alias("s")), "s", "v")
-        self.shared = ((shared + 1) / (shared.sum() + TABLE)).astype(np.float32)
-        self.curve: np.ndarray | None = None
-        self.shipped = None
+        left_over = words.agg(*[F.sum(F.least(F.col(f"c{k}").cast("double"), discount * F.sqrt(f"c{k}"))).alias(f"c{k}") for k in (0, 1)]).first()
+        self.spare = {k: (left_over[f"c{k}"] or 0) / n for k, n in self.seen.items()}
+        self.shared = _shared_counts(documents, self.word_key)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"shipped": None}
@@ -142,19 +164,22 @@ class Model:
     def evidence(self, words: np.ndarray, before: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood difference (toxic less ordinary) and length of each text."""
         d = self.discount
-        ws, vs = (words & _SLOT).astype(np.int64), (before & _SLOT).astype(np.int64)
-        key = _pair_hash(before, words)
-        ps = (key & _SLOT).astype(np.int64)
-        has_w, has_v, has_p, has_m = self.word_tag[ws] == words, self.left_tag[vs] == before, self.pair_tag[ps] == key, self.mass_tag[vs] == before
-        p_shared = self.shared[ws].astype(np.float64)
+
+        def held_of(table: np.ndarray, at: np.ndarray, has: np.ndarray) -> np.ndarray:
+            return np.where(has, table[at], 0) if len(table) else np.zeros(len(at))
+
+        ws, has_w = _place(words, self.word_key)
+        vs, has_v = _place(before, self.left_key)
+        ps, has_p = _place(_pair_hash(before, words), self.pair_key)
+        p_shared = np.where(has_w, self.shared[ws], 1.0) if len(self.shared) else np.ones(len(words))
         logs, alone = [], []
         for k in (0, 1):
-            context = np.where(has_w, self.contexts[k, ws], 0)
+            context = held_of(self.contexts[k], ws, has_w)
             unigram = np.maximum(context - d * np.sqrt(context), 0) / self.seen[k] + self.spare[k] * p_shared
-            total = np.where(has_v, self.lefts[k, vs], 0)
-            pair = np.where(has_p, self.pairs[k, ps], 0)
+            total = held_of(self.lefts[k], vs, has_v)
+            pair = held_of(self.pairs[k], ps, has_p)
             held = np.maximum(pair - d * np.sqrt(pair), 0)
-            mass = np.where(has_m, self.mass[k, vs], 0)
+            mass = held_of(self.mass[k], vs, has_v)
             ok = total > mass
             safe = np.where(ok, total, 1)
             alone.append(np.log(unigram))
@@ -218,8 +243,6 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
     given = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     total = given.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    # both classes alike, so that their backoff weights are
-    class_rows = min(class_rows, max(1, min(total.t or 0, total.n - (total.t or 0))))
     chosen = [given.where(F.col("toxic") == k).withColumn("_order", order).orderBy("_order").limit(class_rows) for k in (0, 1)]
     chosen = common.stored(chosen[0].unionByName(chosen[1]), "toxicity-rows")
     share = (total.t or 0) / total.n if total.n else 0.0
@@ -227,7 +250,7 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
         return share
     # at most 2 * class_rows ids: a bounded side
     sample = common.stored(documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", (F.pmod("_order", F.lit(5)) == 0).alias("kept_out"))), "doc_id").dropDuplicates(["toxic", "text"]), "toxicity-sample")
-    model = Model(_bigrams(sample.where("not kept_out")), _shared_counts(documents))
+    model = Model(_bigrams(sample.where("not kept_out")), documents)
     if set(model.seen) != {0, 1}:
         return share
     model.shipped = documents.sparkSession.sparkContext.broadcast(model)  # once: the curve, found next, travels with the tasks
@@ -236,7 +259,7 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
     if len(set(y.tolist())) < 2:
         model.curve = np.array([math.log(share / (1 - share)), 1.0, 0.0])
         return model
-    # the sample is even by class, or nearly; its odds are brought back to those of all labels
+    # a class beyond class_rows is cut, so the sample's odds are brought back to those of all labels
     model.curve = fit_curve(_features(mean, n), y.astype(float))
     odds = share / (1 - share) / (y.mean() / (1 - y.mean()))
     model.curve[0] += math.log(odds)

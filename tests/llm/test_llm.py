@@ -74,6 +74,45 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.scores(none, labels).count() == 0
 
 
+def test_toxicity_holds_every_count_and_all_ordinary_rows(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]  # more than one to a slot of 2^18, had the model slots
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.7 else "a b" for _ in range(150)), int(i % 5 == 0)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    kept_out = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(5)) == 0).select("doc_id").collect()}
+    grams = [{}, {}]
+    occurrences, total = {}, 0
+    for d, text, toxic in rows:
+        w = text.split()
+        for x in set(w):
+            occurrences[x] = occurrences.get(x, 0) + 1
+        total += len(set(w))
+        for p in {(v, x) for v, x in zip([None, *w], w)} if d not in kept_out else ():
+            grams[toxic][p] = grams[toxic].get(p, 0) + 1
+    assert model.seen == {k: len(grams[k]) for k in (0, 1)}
+    contexts, lefts, mass = ([{}, {}] for _ in range(3))
+    less = lambda c: max(c - 2 * c**0.5, 0)
+    for k in (0, 1):
+        for (v, x), c in grams[k].items():
+            contexts[k][x] = contexts[k].get(x, 0) + 1
+            lefts[k][v] = lefts[k].get(v, 0) + c
+            mass[k][v] = mass[k].get(v, 0) + less(c)
+    spare = [sum(min(c, 2 * c**0.5) for c in contexts[k].values()) / len(grams[k]) for k in (0, 1)]
+    got = {r.doc_id: r["mean"] for r in toxicity.evidence(df, model, ["doc_id"]).collect()}
+    for d, text, _ in rows[:100]:
+        w, sum_, seen = text.split(), 0.0, set()
+        for v, x in zip([None, *w], w):
+            if (v, x) in seen:
+                continue
+            seen.add((v, x))
+            one = [less(contexts[k].get(x, 0)) / len(grams[k]) + spare[k] * occurrences[x] / total for k in (0, 1)]
+            two = [less(grams[k].get((v, x), 0)) / lefts[k][v] + (1 - mass[k][v] / lefts[k][v]) * one[k] if lefts[k].get(v, 0) > mass[k].get(v, 0) else one[k] for k in (0, 1)]
+            a, b = np.log(two[1] / two[0]), np.log(one[1] / one[0])
+            sum_ += np.sign(a) * max(min(abs(a), abs(b)) - 1, 0) if a * b > 0 else 0
+        assert got[d] == pytest.approx(sum_ / len(seen), abs=1e-5)
+
+
 def test_pair_hash_is_sparks(spark):
     rng = np.random.default_rng(0)
     v, w = (rng.integers(-(2**63), 2**63, 50) for _ in range(2))
