@@ -31,19 +31,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_OWN: dict[str, str] = {}
+#: Folders that fresh_path has named in this process, so that a caller can discard what a finished step has left.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one on a local master and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        own = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +63,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of fresh_path whose readers are done."""
+    for path in paths:
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with as many underscores as it takes to be no column of df (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: A key with more than one in HOT_KEYS of all rows is hot: there are fewer than HOT_KEYS of them in any table.
+HOT_KEYS = 2000
+#: Row numbers or keys that are broadcast at most; beyond that the join shuffles.
+BROADCAST_ROWS = 1 << 20
+
+
+def by_key(rows: DataFrame, unique: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with unique (a stored table of one row per key, n being the rows of that key) of total rows in all.
+
+    Hot keys, fewer than HOT_KEYS by their definition, are joined by broadcast, so that no key's rows meet in one task.
+    """
+    hot = unique.where(F.col("n") > total / HOT_KEYS)
+    cold = unique.where(F.col("n") <= total / HOT_KEYS).drop("n")
+    some = rows.join(F.broadcast(hot.drop("n")), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return some.unionByName(rest)
+
+
+def matched(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join with keys, a stored table of one column: by broadcast if they are few enough, else by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an integer column written as text, modulo modulus."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

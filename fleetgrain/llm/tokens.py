@@ -10,8 +10,9 @@ width in bits, count, chunks (uint8 or uint16), bitmap and directory (uint32). S
 written by Spark, so the commit is Spark's: an attempt of a lost executor leaves nothing behind.
 
 Tokenising: text is cut where the tokenizer's own pre-tokenizer is sure to cut (before a run of white space, between letters or
-digits and punctuation) and around the file's added tokens, equal pieces are encoded once per worker and the ids are put back in place. The result equals that of
-encoding whole texts with the tokenizer as its file has it (add_special_tokens=False).
+digits and punctuation) and around the file's added tokens, equal pieces are encoded once per worker and the ids are put back
+in place. Pieces are looked up by a hash and compared byte for byte; one whose hash is another piece's is encoded by itself. The
+result equals that of encoding whole texts with the tokenizer as its file has it (add_special_tokens=False).
 
 Nulls: a null text is the empty text (only the end id); a null doc_id sorts first. Repeated doc_ids follow each other, ordered by
 their ids' bytes. Empty tables give an empty result. Other columns are not read.
@@ -204,21 +205,19 @@ def _letters(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes documents; pieces seen before come from a bounded cache.
+    """Encodes documents with the tokenizer as it is loaded; pieces seen before come from a bounded cache.
 
-    With special, the tokenizer stays as it is loaded: each occurrence of one of its added tokens is a piece of its own. Without,
-    such a string is ordinary text.
+    Each occurrence of one of the file's added tokens is a piece of its own.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        added = self.tokenizer.get_added_tokens_decoder()
         for token in added.values():
             if token.lstrip or token.rstrip or token.single_word or (token.normalized and self.tokenizer.normalizer is not None):
                 raise ValueError(f"an added token that reaches beyond its own text: {token.content}")
@@ -228,7 +227,25 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """An empty cache: hashes of pieces, their bytes and their ids (where they begin and how many they are)."""
+        self.keys = np.zeros(0, np.uint64)
+        self.text, self.text_at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _equal(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which pieces of data have the very bytes of the cached pieces at place."""
+        same = self.size[place] == sizes
+        some = np.arange(len(starts)) if same.all() else np.flatnonzero(same)
+        if not len(some):
+            return same
+        n = sizes[some]
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1])
+        held = self.text[at + np.repeat(self.text_at[place[some]] - (upto - n), n)]
+        here = data if len(some) == len(starts) else data[at + np.repeat(starts[some] - (upto - n), n)]
+        off = np.flatnonzero(held != here)
+        same[some[np.searchsorted(upto, off, "right")]] = False
+        return same
 
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the pieces, their ids in it, and how many each has.
@@ -275,6 +292,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
         starts = self._starts(data, at)
         ends = np.append(starts[1:], len(data))
+        sizes = ends - starts
         keys, where, back = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         known = place < len(self.keys)
@@ -284,21 +302,32 @@ class Encoder:
             if len(self.keys) + len(new) > CACHE_PIECES and len(self.keys):
                 self.clear()
                 new = np.arange(len(keys))
-            order, got, counts = self._encode(data, starts[where[new]], ends[where[new]])
+            own = where[new]
+            order, got, counts = self._encode(data, starts[own], ends[own])
             firsts = len(self.ids) + np.cumsum(counts) - counts
             back_in_order = np.argsort(order)
             firsts, counts = firsts[back_in_order], counts[back_in_order]
+            upto = np.cumsum(sizes[own])
+            text = data[np.arange(upto[-1]) + np.repeat(starts[own] - (upto - sizes[own]), sizes[own])]
             into = np.searchsorted(self.keys, keys[new])
+            self.size = np.insert(self.size, into, sizes[own])
+            self.text_at = np.insert(self.text_at, into, len(self.text) + upto - sizes[own])
+            self.text = np.concatenate([self.text, text])
             self.keys, self.first, self.count = np.insert(self.keys, into, keys[new]), np.insert(self.first, into, firsts), np.insert(self.count, into, counts)
             self.ids = np.concatenate([self.ids, got])
             place = np.searchsorted(self.keys, keys)
         place = place[back]
-        first, count = self.first[place], self.count[place]
+        first, count, ids = self.first[place], self.count[place], self.ids
+        other = np.flatnonzero(~self._equal(data, starts, sizes, place))
+        if len(other):  # the hash of another piece
+            order, got, counts = self._encode(data, starts[other], ends[other])
+            first[other[order]], count[other[order]] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = np.concatenate([ids, got])
         total = np.cumsum(count)
         index = np.arange(total[-1]) + np.repeat(first - (total - count), count)
         owner = np.searchsorted(starts, at, "left")  # the first piece of each document
         upto = np.append(0, total)[owner]
-        return self.ids[index], np.diff(upto)
+        return ids[index], np.diff(upto)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -306,7 +335,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, special=True)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
