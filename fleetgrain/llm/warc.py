@@ -1,18 +1,24 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page_id over ranges, each range by one task. A task rolls to its next file when the compressed size passes
-roll_bytes; every record is a gzip member of its own, with header lines, block and payload digests and a record id made anew from
-its content, so equal input gives equal files for equal ranges. Of records with equal payloads the one with the smallest page_id is
-a response; the others are revisits that refer to it and carry no payload.
+Records are sorted by (page_id, payload digest, url) and cut into ranges. A task writes whole ranges, one after the other, and
+rolls to a range's next file when the compressed size passes roll_bytes; every record is a gzip member of its own, with header
+lines, block and payload digests and a record id made anew from its content. How many ranges there are follows the bytes of all
+payloads (one for RANGE_BYTES, MOST_RANGES at most), and their bounds are quantiles of the records whose hash is small
+enough, so names and bytes of the files depend on the pages alone: not on their partitions, on the number of tasks or on retries.
+
+Of records with equal payloads the first by (page_id, url), nulls last, is a response; the others are revisits that refer to it
+(record id, target URI, date and page) and carry no payload. Of rows alike in all three columns one is taken as the first.
 
 Commit: tasks write under temporary names that no other attempt has, and return a row per file. These rows are a table written by Spark,
 so exactly the files of attempts that Spark accepted are in it. A second job gives them their final names (a repeated attempt
 finds the work done) and its rows are the manifest. Readers open only what the manifest names and check size and digest, so
 leftovers of lost executors are never read. Files are reached through pyarrow's file systems by URI.
 
-Nulls: null html is an empty payload; a null url is written as `about:blank`; a null page_id sorts last and is a
-response only if its payload has no other page_id, and its revisits then refer to null. Rows with equal page_id and equal payload: the first
-(by url) is the response, the others revisit it. Empty tables give no files and an empty result. Other columns are not read.
+Nulls: null html is an empty payload; a null url is written as `about:blank`; a null page_id sorts last, and revisits of its
+response refer to null. Empty tables give no files and an empty result. Other columns are not read.
+
+Scale: payloads are shuffled once. A payload that very many pages share is joined by broadcast (common.by_key), and null page ids
+are spread by digest; only rows alike in page_id and payload are always of one range.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +40,11 @@ from . import common
 ROLL_BYTES = 32 << 20
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 0
+#: Payload bytes of a range of records, and how many ranges there are at most.
+RANGE_BYTES = 4 << 20
+MOST_RANGES = 10_000
+#: Records per range of which the bounds are quantiles; with MOST_RANGES this bounds what the driver holds.
+SAMPLE = 32
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 _FILES = "name string, temp string, bytes long, sha256 string, records long"
@@ -43,18 +55,26 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """A WARC record, as a gzip member."""
+def _uri(url: str | None) -> str:
+    return " ".join((url or "about:blank").split()) or "about:blank"
+
+
+def _record_id(page_id: int | None, url: str | None, digest: str, copy: int = 0) -> str:
+    """The id of a page's record; copy tells rows alike apart."""
+    key = f"{page_id}|{_uri(url)}|{digest}|{copy}"
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(key.encode()).digest()[:16], version=4)}>"
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int, first: tuple[int | None, str | None] | None) -> bytes:
+    """A WARC record, as a gzip member; first is the page that a revisit refers to."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
-    uri = " ".join((url or "about:blank").split()) or "about:blank"
-    key = f"{page_id}|{uri}|{digest}|{revisit}|{refers_to}"
+    block = http if first else http + payload
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=hashlib.sha256(key.encode()).digest()[:16], version=4)}>",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Record-ID: {_record_id(page_id, url, digest, copy)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Page-ID: {_NONE if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -62,76 +82,107 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {_NONE if refers_to is None else refers_to}"]
+    if first:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(*first, digest)}",
+            f"WARC-Refers-To-Target-URI: {_uri(first[1])}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"WARC-Refers-To-Page: {_NONE if first[0] is None else first[0]}",
+        ]
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def _decisions(pages: DataFrame, least: int) -> DataFrame:
-    """digest, first page_id and whether it has one: payloads that stand in several rows."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    return rows.groupBy("sha1").agg(F.count("*").alias("rows"), F.min("page_id").alias("first")).where("rows > 1").select("sha1", "first")
+def _bounds(narrow: DataFrame, range_bytes: int) -> list[tuple]:
+    """Ascending keys (page_id is null, page_id, digest) at which the ranges after the first begin."""
+    whole = narrow.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    ranges = min(MOST_RANGES, -(-(whole.bytes or 0) // range_bytes))
+    if ranges < 2:
+        return []
+    share = min(1.0, ranges * SAMPLE / whole.rows)
+    small = F.pmod(F.xxhash64("page_id", "sha1", F.lit("warc")), F.lit(1 << 30)) < int(share * (1 << 30))
+    # about ranges * SAMPLE rows: a proven bound in expectation
+    keys = sorted((r.page_id is None, r.page_id or 0, r.sha1) for r in narrow.where(small).select("page_id", "sha1").distinct().collect())
+    return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
+
 
+def _ranged(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """rows with the number of their range."""
+    if not bounds:
+        return rows.withColumn("range", F.lit(0))
 
-def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = (common.col(batch, c).to_pylist() for c in ("page_id", "sha1"))
+            at = [bisect_right(bounds, (i is None, i or 0, k)) for i, k in zip(ids, keys, strict=True)]
+            yield batch.append_column("range", pa.array(at, pa.int32()))
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, ddl + ", range int")
+
+
+def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under path (a URI); returns the manifest, read back from path/manifest.
 
-    The payloads are shuffled once, by ranges of page_id. What decides revisits is found from digests alone and comes to the
-    writer as a row of its own, sorted before the page it concerns.
+    What decides revisits is found from digests alone and comes to the writer as a row of its own, sorted before the page it
+    concerns.
     """
     spark = pages.sparkSession
     common.small_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
-    revisits = narrow.where(F.col("n") >= revisit_bytes).join(_decisions(pages, revisit_bytes), "sha1").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    revisits = common.stored(revisits.select("page_id", "sha1", "first").distinct(), "warc-revisits")
-    notes = revisits.select("page_id", F.lit(0).alias("kind"), F.col("sha1").alias("key"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    records = pages.select("page_id", F.lit(1).alias("kind"), F.sha1(payload).alias("key"), "url", payload.alias("payload"), F.lit(None).cast("long").alias("first"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("page_id").asc_nulls_last()]
-    ordered = records.unionByName(notes).repartitionByRange(parts, *order).sortWithinPartitions(*order, "kind", "key", F.col("url").asc_nulls_first())
+    page = F.col("page_id").cast("long").alias("page_id")
+    narrow = common.stored(pages.select(page, "url", F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("n")), "warc-pages")
+    bounds = _bounds(narrow, range_bytes)
+    place = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.col("url").isNull().alias("c"), F.col("url").alias("d"))
+    long = narrow.where(F.col("n") >= revisit_bytes)
+    twice = long.groupBy("sha1").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    twice = common.stored(twice.select("sha1", "n", F.struct(F.col("first.b").alias("page_id"), F.col("first.d").alias("url")).alias("first")), "warc-first")
+    notes = common.by_key(long.select("page_id", "sha1").distinct(), twice, "sha1", narrow.count())
+    nothing = [F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")]
+    notes = notes.select("page_id", F.lit(0).alias("kind"), "sha1", *nothing, "first")
+    no_first = F.lit(None).cast("struct<page_id:bigint,url:string>").alias("first")
+    records = pages.select(page, F.lit(1).alias("kind"), F.sha1(payload).alias("sha1"), "url", payload.alias("payload"), no_first)
+    order = ["range", F.col("page_id").asc_nulls_last(), "sha1", "kind", F.col("url").asc_nulls_last()]
+    tasks = max(1, min(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = _ranged(records.unionByName(notes), bounds).repartition(tasks, "range").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        attempt = uuid.uuid4().hex
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(f"{root}/temp", recursive=True)
         done: list[tuple] = []
-        out = None
+        out, number, files = None, -1, 0
 
         def close() -> None:
             out.close()
-            done.append((f"part-{part:05d}-{len(done):05d}.warc.gz", temp, size, digest.hexdigest(), count))
+            done.append((name, temp, size, digest.hexdigest(), count))
 
-        known: dict[str, int | None] = {}
-        current, last_key, shared = None, None, 0
+        noted = first = last = None
+        copy = 0
         for batch in batches:
-            columns = [common.col(batch, c) for c in ("page_id", "kind", "key", "url", "payload", "first")]
-            for page_id, kind, key, url, data, first in zip(*(c.to_pylist() if i != 4 else c for i, c in enumerate(columns)), strict=True):
+            columns = [common.col(batch, c) for c in ("range", "page_id", "kind", "sha1", "url", "payload", "first")]
+            for part, page_id, kind, key, url, data, given in zip(*(c if i == 5 else c.to_pylist() for i, c in enumerate(columns)), strict=True):
                 if kind == 0:
-                    if page_id != current:
-                        current, known = page_id, {}
-                    known[key] = first
+                    noted, first = (page_id, key), (given["page_id"], given["url"])
                     continue
-                if page_id != current:
-                    current, known = page_id, {}
-                data = data.as_py()
-                twice = (page_id, key) == last_key and len(data) >= revisit_bytes  # rows alike: the first stands for the others
-                last_key = (page_id, key)
-                revisit = key in known or twice
-                record = _record(page_id, url, data, base64.b32encode(bytes.fromhex(key)).decode(), revisit, known.get(key, page_id) if revisit else None)
+                copy = copy + 1 if (page_id, key, url) == last else 0
+                last = (page_id, key, url)
+                shared = (page_id, key) == noted
+                refers = first if shared and ((page_id, url) != first or copy) else None
+                record = _record(page_id, url, data.as_py(), base64.b32encode(bytes.fromhex(key)).decode(), copy, refers)
+                if out is not None and (part != number or size >= roll_bytes):
+                    close()
+                    out, files = None, files + 1
+                if part != number:
+                    number, files = part, 0
                 if out is None:
-                    temp, size, count, digest = f"temp/{part:05d}-{len(done):05d}-{attempt}", 0, 0, hashlib.sha256()
+                    name, temp = f"range-{part:05d}-{files:05d}.warc.gz", f"temp/{part:05d}-{files:05d}-{attempt}"
+                    size, count, digest = 0, 0, hashlib.sha256()
                     out = fs.open_output_stream(f"{root}/{temp}", compression=None)
                 out.write(record)
                 digest.update(record)
                 size, count = size + len(record), count + 1
-                if size >= roll_bytes:
-                    close()
-                    out = None
         if out is not None:
             close()
         if done:
@@ -214,8 +265,8 @@ def read_warc(manifest: DataFrame, path: str, payloads: bool = False) -> DataFra
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
-    # a task per file, as files have one size
-    return manifest.repartition("name").mapInArrow(run, ddl)
+    # one task for each file, in a number given, which adaptive execution doesn't merge
+    return manifest.repartition(max(1, min(MOST_RANGES, manifest.count()))).mapInArrow(run, ddl)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +278,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Base32 in SQL: five hexadecimal digits are four of base 32.
 OP5_SQL = """
-with p as (select page_id, coalesce(html, '') as html from pages),
-d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first from p)
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex, row_number() over w as nth, first_value(page_id) over w as first from p
+  window w as (partition by html order by page_id nulls last, url nulls last))
 select page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::bigint >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+  case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then first end as refers_to
 from d
 """
