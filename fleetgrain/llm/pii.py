@@ -1,14 +1,20 @@
 """Personal data: fixed forms, and unseen identifiers found by bootstrapped contexts.
 
-Base entities are emails, IPv4 addresses, card numbers and phone numbers of fixed forms. They are the seeds. Every token with a digit
-(of MIN_SIZE characters or more, not part of a base entity) is a candidate instance. The lexical pattern of an occurrence is the pair of words before it and the word after
-it, lower-cased. Patterns and instances form a bipartite graph with as many edges as they occur together. Scores
-go round in Spark: a pattern's confidence is the mean of its instances' scores, damped by SMOOTH; an instance's score is the
-noisy-or over its patterns; seeds stay at 1. After ROUNDS rounds, candidates in patterns of at least CONFIDENCE
-and with at least SUPPORT distinct seeds are identifiers: their occurrences become spans of the kind that most seeds of the pattern have.
-
-Instances with equal text are one node; occurrences are aggregated to (pattern, instance, kind, n) before any join, so a common pattern is one row
-per instance. Each round is an equi-join and an aggregation and is written to the shared folder.
+Base entities are emails, IPv4 addresses, card numbers and phone numbers of fixed forms. They are the seeds. A token shaped like an
+identifier (with a digit, `@`, `_` or a dot between letters, of MIN_SIZE characters or more, not part of a base entity) is a
+candidate. An occurrence has up to three lexical patterns, from the fullest context to shorter ones: the two words before it and
+the one after, the word before and the word after, the two words before; all lower-cased and whole, however far away.
+
+Patterns and instances form a bipartite graph. Seeds score 1, other instances 0 at first. In a round, a pattern's confidence is the sum
+of its instances' scores over their number plus SMOOTH; it is trusted at CONFIDENCE with SUPPORT or more distinct instances that are seeds or already
+discovered. Every candidate in trusted patterns is discovered; its score is the noisy-or of their confidences, and so it lends support
+to other patterns in the next round, whether these have seeds or not. Scores and trusted patterns only grow; rounds end when no
+pattern is added, after ROUNDS at most. Occurrences of candidates in trusted patterns become spans, of the kind that most trusted instances of the
+pattern have.
+
+Instances of equal text are one node; occurrences are aggregated to (pattern, instance) before any join, and patterns of SUPPORT instances
+or fewer can discover nothing and are left out at once. Rounds are equi-joins and aggregations; a pattern or instance with a large share
+of all edges is joined by broadcast (common.by_key). Texts are scanned in linear time.
 
 Nulls: a null text is the empty text and has no span. A null doc_id is kept. Repeated rows are each scanned. Empty tables give empty
 results. Other columns are not read.
@@ -18,8 +24,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +42,22 @@ CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 MIN_SIZE = 5
-ROUNDS = 4
-SMOOTH = 2.0
+ROUNDS = 20
+SMOOTH = 0.5
 SUPPORT = 3
-CONFIDENCE = 0.8
+CONFIDENCE = 0.6
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP, _CARD, _PHONE = re.compile(IP), re.compile(CARD), re.compile(PHONE)
+# as IP matches: a match can only begin where a run of digits does, and none of its runs is ever given back
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_CARD, _PHONE = re.compile(CARD), re.compile(PHONE)
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9_/+=@.:\-]*[0-9][A-Za-z0-9_/+=@.:\-]*[A-Za-z0-9]|[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9_/+=@.:\-]+")
+_SHAPED = re.compile(r"[0-9@_]|[A-Za-z]\.[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters before and after an occurrence in which its context words are looked for.
-_REACH = 64
+#: A name of a pattern or instance in the graph; longer ones are named by their hash.
+_NAME = 200
 
 
 def _luhn(digits: str) -> bool:
@@ -88,69 +100,116 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _pattern(text: str, start: int, end: int) -> str:
-    before = _WORD.findall(text, max(0, start - _REACH), start)[-2:]
-    after = _WORD.findall(text, end, end + _REACH)[:1]
-    return f"{' '.join(before)} _ {' '.join(after)}".lower()
+def _named(text: str) -> str:
+    return text if len(text) <= _NAME else f"#{xxhash.xxh3_128_hexdigest(text)}"
+
+
+class _Context:
+    """The words of a text by position."""
+
+    def __init__(self, text: str):
+        self.text = text
+        at = np.fromiter(chain.from_iterable(m.span() for m in _WORD.finditer(text)), np.int64)
+        self.starts, self.ends = at[::2], at[1::2]
+
+    def word(self, k: int) -> str | None:
+        return self.text[self.starts[k] : self.ends[k]].lower() if 0 <= k < len(self.starts) else None
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        last = int(np.searchsorted(self.ends, start, "right"))
+        two, one = self.word(last - 2), self.word(last - 1)
+        then = self.word(int(np.searchsorted(self.starts, end, "left")))
+        forms = [(two, one, "_", then), (one, "_", then), (two, one, "_")]
+        return [_named(" ".join(f)) for f in forms if None not in f]
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Where tokens stand that may be identifiers and are no part of a base entity."""
+    taken = sorted((a, b) for _, a, b in base)
+    ends = list(np.maximum.accumulate([b for _, b in taken])) if taken else []
+    out, k = [], 0
+    for m in _RUN.finditer(text):
+        token = m[0].strip("/+=@.:-")
+        a = m.start() + m[0].find(token)
+        b = a + len(token)
+        while k < len(taken) and ends[k] <= a:
+            k += 1
+        if b - a >= MIN_SIZE and not (k < len(taken) and taken[k][0] < b) and _SHAPED.search(token):
+            out.append((a, b))
+    return out
 
 
-_SCANNED = "doc_id long, base array<struct<kind:string,start:int,end:int>>, found array<struct<pattern:string,instance:string,kind:string,start:int,end:int>>"
+_SPAN = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+_FOUND = [("patterns", pa.list_(pa.string())), ("instance", pa.string()), *_SPAN]
+_SCANNED = "doc_id long, base array<struct<kind:string,start:int,end:int>>, found array<struct<patterns:array<string>,instance:string,kind:string,start:int,end:int>>"
+#: What a text needs for any base entity or candidate.
+_ANY = re.compile(r"[0-9@_]|[A-Za-z]\.[A-Za-z]")
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, base spans, and all occurrences (seeds with their kind, candidates with none) with pattern and instance."""
+    """doc_id, base spans, and all occurrences (seeds with their kind, candidates with none) with patterns and instance."""
     common.small_batches(documents.sparkSession)
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    occurrence = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             bases, founds = [], []
             for text in common.col(batch, "text").fill_null("").to_pylist():
                 base, found = [], []
-                if "@" in text or _DIGIT.search(text):
+                if _ANY.search(text):
                     base = base_spans(text)
-                    taken = sorted((a, b) for _, a, b in base)
-                    found = [{"pattern": _pattern(text, a, b), "instance": text[a:b], "kind": kind, "start": a, "end": b} for kind, a, b in base]
-                    k = 0
-                    for m in _TOKEN.finditer(text):
-                        a, b = m.span()
-                        while k < len(taken) and taken[k][1] <= a:
-                            k += 1
-                        if b - a < MIN_SIZE or k < len(taken) and taken[k][0] < b:
-                            continue
-                        found.append({"pattern": _pattern(text, a, b), "instance": m[0], "kind": None, "start": a, "end": b})
+                    spans = base + [(None, a, b) for a, b in candidates(text, base)]
+                    context = _Context(text) if spans else None
+                    found = [{"patterns": context.patterns(a, b), "instance": _named(text[a:b]), "kind": kind, "start": a, "end": b} for kind, a, b in spans]
                 bases.append([{"kind": kind, "start": a, "end": b} for kind, a, b in base])
                 founds.append(found)
-            yield pa.RecordBatch.from_arrays([common.col(batch, "doc_id"), pa.array(bases, pa.list_(span)), pa.array(founds, pa.list_(occurrence))], names=["doc_id", "base", "found"])
+            columns = [common.col(batch, "doc_id"), pa.array(bases, pa.list_(pa.struct(_SPAN))), pa.array(founds, pa.list_(pa.struct(_FOUND)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "found"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCANNED)
 
 
 def patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pattern and kind of the trusted patterns; edges: (pattern, instance, kind, n), kind null for candidates."""
-    edges = edges.where("pattern <> ' _ '")  # no context, no evidence
-    links = common.stored(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "pii-links")
-    # only patterns and instances within reach of more than one edge can pass a score on
-    seeds = links.groupBy("pattern").agg(F.count("kind").alias("seeds"))
-    scores = links.select("instance", F.col("kind").isNotNull().cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    trusted = None
+    """pattern, kind, confidence and n (its edges) of the trusted patterns; edges: (pattern, instance, kind), kind null for candidates."""
+    links = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    links = common.stored(links, "pii-edges")
+    wide = common.stored(links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > support), "pii-wide")
+    links = common.stored(common.by_key(links, wide, "pattern", links.count()), "pii-links")
+    total = links.count()
+    each = links.groupBy("instance").agg(F.max("kind").alias("seed"), F.count("*").alias("n"))
+    each = common.stored(each, "pii-instances")
+    seeds = each.where("seed is not null").select("instance", F.lit(1.0).alias("score"), F.col("seed").alias("as"), "n")
+    scores = seeds
+    trusted, before = None, 0
     for _ in range(rounds):
-        held = links.join(scores, "instance")
-        trusted = common.stored(held.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(smooth))).alias("confidence")), "pii-patterns")
-        spread = links.join(trusted, "pattern").groupBy("instance").agg(F.max(F.col("kind").isNotNull()).alias("seed"), F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))).alias("miss"))
-        scores = common.stored(spread.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("miss")).alias("score")), "pii-instances")
-    kinds = links.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("k")).groupBy("pattern").agg(F.max_by("kind", F.struct("k", "kind")).alias("kind"))
-    return trusted.join(seeds, "pattern").where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).join(kinds, "pattern").select("pattern", "kind", "confidence")
+        held = common.by_key(links.select("pattern", "instance"), scores, "instance", total, "left")
+        counts = [F.count_if((F.col("as") == k) & (F.col("score") >= confidence)).alias(k) for k in KINDS]
+        sums = held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"), *counts)
+        most = F.array_max(F.array(*[F.struct(F.col(k).alias("k"), F.lit(k).alias("kind")) for k in KINDS]))["kind"]
+        sums = sums.select("pattern", "n", (F.col("sum") / (F.col("n") + F.lit(smooth))).alias("confidence"), sum(F.col(k) for k in KINDS).alias("support"), most.alias("kind"))
+        trusted = common.stored(sums.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).drop("support"), "pii-patterns")
+        now = trusted.count()
+        if now == before:
+            break
+        before = now
+        unseen = common.by_key(links.where("kind is null").select("pattern", "instance"), trusted, "pattern", total)
+        miss = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
+        found = unseen.groupBy("instance").agg((1 - F.exp(miss)).alias("score"), F.max_by("kind", F.struct("confidence", "kind")).alias("as"))
+        found = found.join(each.where("seed is null").select("instance", "n"), "instance")
+        scores = common.stored(seeds.unionByName(found), "pii-scores")
+    return trusted
 
 
 def personal_data(documents: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base (spans of the fixed forms) and added (spans found by trusted patterns) of each document."""
     rows = common.stored(scan(documents).withColumn("row", F.monotonically_increasing_id()), "pii-occurrences")
     found = rows.select("row", F.explode("found").alias("o")).select("row", "o.*")
-    edges = found.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    trusted = common.stored(patterns(edges, rounds, smooth, support, confidence).select("pattern", F.col("kind").alias("as_kind")), "pii-trusted")
-    more = found.where("kind is null").join(trusted, "pattern").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("as_kind").alias("kind"), "start", "end"))).alias("added"))
+    edges = found.select(F.explode("patterns").alias("pattern"), "instance", "kind")
+    trusted = patterns(edges, rounds, smooth, support, confidence).select("pattern", "confidence", F.col("kind").alias("as_kind"), "n")
+    trusted = common.stored(trusted, "pii-trusted")
+    seen = found.where("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    more = common.by_key(seen, trusted, "pattern", trusted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    more = more.groupBy("row", "start", "end").agg(F.max_by("as_kind", F.struct("confidence", "as_kind")).alias("kind"))
+    more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     return rows.select("row", "doc_id", "base").join(more, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
@@ -165,4 +224,11 @@ def joined(spans, kinds: tuple[str, ...] = KINDS):
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = personal_data(common.table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return got.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return got.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        F.size(F.concat("base", "added")).cast("long").alias("n_spans"),
+    )

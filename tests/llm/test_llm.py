@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -355,6 +356,55 @@ def test_unseen_identifiers_are_found_by_context(spark):
     assert got[10] == [{"kind": "email", "start": 21, "end": 28}] and got[200] == [] and got[11] == []
 
 
+def test_discovered_identifiers_discover_others(spark):
+    rows = [f"please send money to a{i}@mail.com today" for i in range(20)] + [f"please send money to K9-77{i} today" for i in range(4)]
+    rows += [f"our good customer number K9-77{i} called" for i in range(4)] + ["our good customer number Z1-555 called", "a pipe of size 12345 there"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = lambda rounds: {r.doc_id for r in pii.personal_data(df, rounds=rounds).collect() if len(r.added)}
+    assert found(1) == {20, 21, 22, 23} and found(20) == set(range(20, 29))
+
+
+def test_pattern_graph_equals_brute_force(spark):
+    rng = random.Random(11)
+    kinds = {f"i{k}": rng.choice(pii.KINDS) if rng.random() < 0.62 else None for k in range(60)}
+    edges = sorted({(f"p{rng.randint(0, 14)}", f"i{rng.randint(0, 59)}") for _ in range(160)})
+    of = {}
+    for p, i in edges:
+        of.setdefault(p, []).append(i)
+    score, as_kind, want = {i: float(k is not None) for i, k in kinds.items()}, dict(kinds), {}
+    while True:
+        now = {}
+        for p, held in of.items():
+            good = [as_kind[i] for i in held if score[i] >= 0.6]
+            sure = sum(score[i] for i in held) / (len(held) + 0.5)
+            if len(held) > 3 and len(good) >= 3 and sure >= 0.6:
+                now[p] = (max((good.count(k), k) for k in pii.KINDS)[1], sure)
+        done = set(now) == set(want)
+        want = now
+        if done:
+            break
+        for i, k in kinds.items():
+            mine = [now[p] for p in now if i in of[p]]
+            if k is None and mine:
+                score[i] = 1 - np.prod([1 - min(c, 0.999) for _, c in mine])
+                as_kind[i] = max((c, k) for k, c in mine)[1]
+    df = spark.createDataFrame([(p, i, kinds[i]) for p, i in edges], "pattern string, instance string, kind string")
+    got = {r.pattern: (r.kind, r.confidence) for r in pii.patterns(df).collect()}
+    assert len(want) > 3 and {p: k for p, (k, _) in got.items()} == {p: k for p, (k, _) in want.items()}
+    assert all(got[p][1] == pytest.approx(c) for p, (_, c) in want.items())
+
+
+@pytest.mark.parametrize("text", ["7" * (1 << 20), "a" * (1 << 20) + "7", "1." * (1 << 19), "a.b_" * (1 << 18), "a@b.c " * (1 << 17), "+1(" * (1 << 18)])
+def test_long_texts_are_scanned_in_linear_time(text):
+    began = time.time()
+    base = pii.base_spans(text)
+    spans = pii.candidates(text, base)
+    context = pii._Context(text)
+    for a, b in [(a, b) for _, a, b in base] + spans:
+        context.patterns(a, b)
+    assert time.time() - began < 5
+
+
 def test_personal_data_of_odd_rows(spark, odd, none, small, docs):
     assert pii.personal_data(odd).count() == len(ODD) and pii.personal_data(none).count() == 0
     texts = dict(docs)
