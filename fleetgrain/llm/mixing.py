@@ -2,18 +2,23 @@
 
 A source's target is its share of all words, by weight, but at most ``cap`` times its own words; what exceeds the cap is
 shared again by weight (water filling, solved in closed form over the sources ordered by cap / weight). With
-e = target / source words, each document of a source is taken floor(e) times for certain and once more with inclusion
-probability p = e - floor(e). The extra copies are a Pareto order sample: documents are ranked by their random odds u / (1 - u)
-divided by their inclusion odds p / (1 - p), and the first of that order are taken, as many as the words left to the target
-allow; up to FITS places left over go, one after the other, to the untaken document whose size fits the remaining gap best, if
-taking it comes nearer.
+e = target / source words, each document of a source is taken floor(e) times for certain and perhaps once more.
 
-u is a hash of the doc_id and a seed, so reruns agree on any partitioning. No source is sorted in one task: ranks are cut into
-bins, words are summed per (source, bin), the bin in which the target falls is found over those sums, and only the documents of
-that bin are ordered.
+The extra copies are a Pareto order sample of unequal probabilities. With f = e - floor(e), a document's inclusion probability is
+p = f * (1 + LEAN * (1 - f) * (H - h)), where h = size / (size + KNEE) grows with its length and H is the mean of h over the source's words: a longer
+document is less likely, p stays between 0 and 1, and the expected words, the sum of p * size, are f times the source's whatever
+the sizes are. Documents are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p). The sample's size is fixed in
+words: in rank order, every document that still fits into the words left to the target is taken, and one that doesn't is passed over, until
+the gap is at most NEAR of the target or nothing fits; then the first passed over that exceeds the target by at most OVER of it has the last
+place. So one very long document at the edge neither ends nor spoils a sample.
+
+u is a hash of the doc_id, the text and a seed, so reruns agree on any partitioning. No source is sorted in one task: a rank is cut into bins by its
+digits, words are summed per (source, bin), the bin in which the gap would be exceeded is found over those sums and cut again, until so few
+documents are left that one sort orders them. Each round of passing over reads only the narrow table of sizes and shuffles sums.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is hashed as the empty text.
-Input columns named as those of the result are replaced. Repeated ids get the same u and are ordered by size; equal rows are interchangeable. Empty tables give empty results.
+Input columns named as those of the result are replaced; any other column is kept. Rows alike in doc_id and text have one rank and are
+taken or passed over together. Empty tables give empty results. The table of sources has a row per source and is ordered in one task.
 """
 
 from __future__ import annotations
@@ -25,24 +30,34 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: How far odds lean to short documents (0 to 1), and the size at which h is a half.
+LEAN = 0.5
+KNEE = 256
+#: A gap of this share of the target needs no filling.
+NEAR = 0.001
+#: By this share of the target may the last place exceed it.
+OVER = 0.01
+#: Bins of a source into which a rank's digits cut at a time, and documents of a bin that are ordered at once, on average.
 BINS = 4096
-#: Places given by size, after those given by rank.
-FITS = 3
+BIN_DOCUMENTS = 1000
 SEED = "mix"
+#: What h is measured in: whole millionths, so that sums don't depend on their order.
+_UNIT = 1_000_000
 
 
 def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number strictly between 0 and 1 from 52 bits of a hash."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number strictly between 0 and 1 from 52 bits of a hash of the document."""
+    of_text = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), of_text, F.lit(":" + seed))
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target of each source; sizes has a row for each source (source, source_size)."""
+    """sizes (a row per source: source, source_size and any others) with the target of each source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     w = sizes.withColumn("place", (F.row_number().over(order) - 1) % len(weights))
@@ -51,76 +66,131 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = full.rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("nth", F.row_number().over(full))
-    w = w.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    left = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))
+    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    w = w.withColumn("level", left / weight_left)
     # the level of the first source that it doesn't fill holds for all after that
     water = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("nth", "level"))).over(everything)["level"]
     w = w.withColumn("water", water)
-    reach = F.when(F.col("water").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")))
-    return w.select("source", "source_size", reach.alias("target"))
+    whole = F.col("cap").cast("double")
+    reach = F.when(F.col("water").isNull(), whole).otherwise(F.least(whole, F.col("water") * F.col("weight")))
+    return w.select(*sizes.columns, reach.alias("target"))
+
 
+def _lean(size: Column) -> Column:
+    """h of a document, in whole millionths."""
+    return F.floor(size * _UNIT / (size + KNEE)).cast("long")
 
-def _ranked(sized: DataFrame, of_source: DataFrame, seed: str, bins: int) -> DataFrame:
-    """sized with its source's figures, the certain copies, the inclusion probability of one more, the rank and its bin."""
+
+def _sources(narrow: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """source, source_size, rows, target, whole (certain copies), f (odds of one more) and mean_lean of each source."""
+    leans = F.sum((_lean(F.col("size")) * F.col("size")).cast("decimal(38,0)"))
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), leans.alias("leans"))
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = uniform(F.col("doc_id"), seed)
-    df = _with_source(sized, of_source).withColumn("_whole", F.floor(e).cast("long")).withColumn("_p", e - F.floor(e))
-    odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    # p is the same within a source, so its order by rank is its order by u, and bins of u are bins of rank
-    return df.withColumn("_rank", F.when(F.col("_p") > 0, odds)).withColumn("_bin", F.floor(u * bins).cast("int"))
+    of = targets(sums, weights, cap).withColumn("e", e).withColumn("mean_lean", F.when(F.col("source_size") > 0, F.col("leans").cast("double") / F.col("source_size")).otherwise(0.0))
+    return of.select("source", "source_size", "rows", "target", F.floor("e").cast("long").alias("whole"), (F.col("e") - F.floor("e")).alias("f"), "mean_lean")
 
 
-def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, bins: int = BINS) -> DataFrame:
-    """documents (all columns) with size, source_size, target and copies.
+def _rank(size: Column, u: Column, f: Column, mean_lean: Column) -> Column:
+    """The Pareto rank as a number of [0, 1): odds q as q / (1 + q)."""
+    p = f * (1 + LEAN * (1 - f) * (mean_lean - _lean(size).cast("double")) / _UNIT)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    return odds / (1 + odds)
+
+
+def _with(df: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """df with the columns of right, a row per source, as one column of that name; null matches null. No hint: Spark broadcasts
+    it below its own threshold only, and splits a hot source beyond."""
+    held = right.select(F.col("source").alias(f"{name}_source"), F.struct(*right.columns).alias(name))
+    return df.join(held, F.col("source").eqNullSafe(F.col(f"{name}_source")), "left").drop(f"{name}_source")
+
+
+def _filled(ranked: DataFrame, state: DataFrame, levels: int) -> DataFrame:
+    """state after one more step down the order of each unfinished source.
 
-    The texts are read twice: for the sizes, of which a narrow table is kept, and for the result. Only sums by source, sums by
-    (source, bin) and the narrow rows of one bin per source are shuffled. What is joined to the documents is a row per source;
-    it is joined with no hint, so Spark broadcasts it only below its own threshold and splits a hot source beyond it.
+    ranked: source, size, rank. state: source, target, gap, after (the rank reached) and steps, an array of (from, to, most): ranks above
+    from and up to to were taken if their documents (of one rank together) had at most most words.
     """
-    documents = documents.drop("size", "source_size", "target", "copies")  # of the result, not of the input
-    own = [c for c in ("_size", "_p", "_whole", "_rank", "_bin", "_source", "cut_bin", "gap", "last_rank", "fits") if c in documents.columns]
-    if own:
-        raise ValueError(f"documents has columns of this operator's own: {own}")
-    narrow = common.stored(documents.select("doc_id", "source", words("text").alias("_size")), "mix-sizes")
-    of_source = common.stored(targets(narrow.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap), "mix-sources")
-    # documents of one id share a rank and are taken together
-    ranked = _ranked(narrow, of_source, seed, bins).where("_p > 0 and _size > 0")
-    need = F.first("target") - F.first("source_size") * F.first("_whole")
-    upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranked.groupBy("source", "_bin").agg(F.sum("_size").alias("words"), need.alias("need")).withColumn("sum", F.sum("words").over(upto))
-    cut = sums.where("sum > need").groupBy("source").agg(F.min(F.struct("_bin", (F.col("sum") - F.col("words")).alias("before"), "need")).alias("c"))
-    cut = common.stored(cut.select("source", F.col("c._bin").alias("cut_bin"), F.col("c.before").alias("before"), F.col("c.need").alias("need")), "mix-cuts")
-    inside = _with_source(ranked.select("source", "_size", "_rank", "_bin"), cut).where("_bin = cut_bin")
-    run = Window.partitionBy("source").orderBy("_rank").rangeBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("sum", F.col("before") + F.sum("_size").over(run))
-    last = inside.where("sum <= need").groupBy("source").agg(F.max("_rank").alias("last_rank"), F.max("sum").alias("reached"))
-    edge = _with_source(cut, last).select("source", "cut_bin", (F.col("need") - F.coalesce("reached", "before")).alias("gap"), "last_rank")
-    # places left over: of what follows the edge, again and again the rank whose words are nearest to the gap
-    after = (F.col("_bin") > F.col("cut_bin")) | ((F.col("_bin") == F.col("cut_bin")) & (F.col("last_rank").isNull() | (F.col("_rank") > F.col("last_rank"))))
-    off = F.abs(F.col("words") - F.col("gap"))
-    edge = edge.withColumn("fits", F.expr("cast(array() as array<double>)"))
-    for _ in range(FITS):
-        edge = common.stored(edge, "mix-edges")
-        rest = _with_source(ranked.select("source", "_size", "_rank", "_bin"), edge).where(after & ~F.array_contains("fits", F.col("_rank")))
-        rest = rest.groupBy("source", "_rank").agg(F.sum("_size").alias("words"), F.first("gap").alias("gap")).where(off < F.col("gap"))
-        fit = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "_rank", "words")).alias("fit"))
-        edge = _with_source(edge, fit).select("source", "cut_bin", "last_rank", F.when(F.col("fit").isNull(), 0.0).otherwise(F.col("gap") - F.col("fit.words")).alias("gap"), F.when(F.col("fit").isNull(), F.col("fits")).otherwise(F.array_append("fits", F.col("fit._rank"))).alias("fits"))
-    edge = common.stored(edge.drop("gap"), "mix-order")
-    final = _with_source(_ranked(documents.withColumn("_size", words("text")), of_source, seed, bins), edge)
-    extra = (
-        F.when((F.col("_p") <= 0) | (F.col("_size") == 0), 0)
-        .when(F.col("_bin") < F.col("cut_bin"), 1)
-        .when((F.col("_bin") == F.col("cut_bin")) & (F.col("_rank") <= F.col("last_rank")), 1)
-        .when(F.array_contains("fits", F.col("_rank")), 1)
-        .otherwise(0)
+    groups = _with(ranked, state.where("open"), "s").where((F.col("rank") > F.col("s.after")) & (F.col("size") <= F.col("s.gap")))
+    fits = groups.select("source", "size", "rank", F.col("s.gap").alias("gap"), F.lit(0).cast("long").alias("before"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"))
+    for _ in range(levels):
+        digit = F.least(F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int")
+        cut = fits.withColumn("bin", digit)
+        upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        sums = cut.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first("before").alias("before"), F.first("low").alias("low"), F.first("width").alias("width"))
+        sums = sums.withColumn("sum", F.col("before") + F.sum("words").over(upto))
+        # the bin in which the gap is exceeded, or else the last one
+        over = F.min(F.when(F.col("sum") > F.col("gap"), F.struct("bin", (F.col("sum") - F.col("words")).alias("before"), "low", "width")))
+        last = F.max(F.struct("bin", (F.col("sum") - F.col("words")).alias("before"), "low", "width"))
+        edge = common.stored(sums.groupBy("source").agg(F.coalesce(over, last).alias("e")).select("source", "e.*"), "mix-bins")
+        cut = _with(cut.drop("before"), edge, "x").where(F.col("bin") == F.col("x.bin"))
+        fits = cut.select("source", "size", "rank", "gap", F.col("x.before").alias("before"), (F.col("low") + F.col("width") * F.col("bin") / BINS).alias("low"), (F.col("width") / BINS).alias("width"))
+    run = Window.partitionBy("source").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
+    inside = fits.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"), F.first("before").alias("before"))
+    inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(run))
+    # the first rank that doesn't fit is passed over; without one, all that fit are taken
+    over = F.min(F.when(F.col("sum") > F.col("gap"), F.struct("rank", (F.col("sum") - F.col("size")).alias("taken"))))
+    reached = inside.groupBy("source").agg(over.alias("over"), F.max(F.struct("rank", F.col("sum").alias("taken"))).alias("last"))
+    reached = reached.select("source", F.coalesce("over", "last").alias("at"), F.col("over").isNotNull().alias("passed"))
+    now = _with(state, reached, "r")
+    step = F.struct(F.col("after").alias("from"), F.col("r.at.rank").alias("to"), F.col("gap").alias("most"), F.col("r.passed").alias("passed"))
+    moved = F.col("r.at").isNotNull()
+    gap = F.when(moved, F.col("gap") - F.col("r.at.taken")).otherwise(F.col("gap"))
+    return now.select(
+        "source",
+        "target",
+        gap.alias("gap"),
+        F.when(moved, F.col("r.at.rank")).otherwise(F.col("after")).alias("after"),
+        F.when(moved, F.array_append("steps", step)).otherwise(F.col("steps")).alias("steps"),
+        (moved & F.col("r.passed") & (gap > F.col("target") * NEAR)).alias("open"),
     )
-    copies = (F.col("_whole") + extra).cast("long").alias("copies")
-    return final.select(*documents.columns, F.col("_size").alias("size"), "source_size", "target", copies)
 
 
-def _with_source(df: DataFrame, of_source: DataFrame) -> DataFrame:
-    """Left join on source, null matching null; of_source has a row for each source."""
-    right = of_source.withColumnRenamed("source", "_source")
-    return df.join(right, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+def _taken(rank: Column, size: Column, steps: Column, last: Column) -> Column:
+    """Whether the steps took a document; the rank at which a step ended was taken unless it was passed over."""
+    inside = lambda s: (rank > s["from"]) & ((rank < s["to"]) | ((rank == s["to"]) & ~s["passed"])) & (size <= s["most"])
+    return F.exists(steps, inside) | F.coalesce(rank == last, F.lit(False))
+
+
+def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, bin_documents: int = BIN_DOCUMENTS) -> DataFrame:
+    """documents (all columns) with size, source_size, target and copies.
+
+    The texts are read twice: for the sizes, of which a narrow table is kept, and for the result.
+    """
+    documents = documents.drop("size", "source_size", "target", "copies")  # of the result, not of the input
+    u = uniform(F.col("doc_id"), F.col("text"), seed)
+    narrow = common.stored(documents.select("source", words("text").alias("size"), u.alias("u")), "mix-sizes")
+    of_source = common.stored(_sources(narrow, weights, cap), "mix-sources")
+    ranked = _with(narrow.where("size > 0"), of_source, "o").where("o.f > 0")
+    ranked = ranked.select("source", "size", _rank(F.col("size"), F.col("u"), F.col("o.f"), F.col("o.mean_lean")).alias("rank"))
+    # rows of one rank are alike in doc_id and text; counted together where there are any
+    most = of_source.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+    levels = 0
+    while most > bin_documents:
+        most, levels = most // BINS, levels + 1
+    no_steps = F.expr("cast(array() as array<struct<from:double,to:double,most:double,passed:boolean>>)")
+    state = of_source.select("source", "target", (F.col("target") - F.col("source_size") * F.col("whole")).alias("gap"), F.lit(-1.0).alias("after"), no_steps.alias("steps"), (F.col("f") > 0).alias("open"))
+    state = common.stored(state, "mix-state")
+    while not state.where("open").isEmpty():
+        state = common.stored(_filled(ranked, state, levels), "mix-state")
+    # the last place, where nothing fitted any more
+    left = _with(ranked, state.where(F.col("gap") > F.col("target") * NEAR), "s").where(F.col("s").isNotNull())
+    limit = F.col("s.gap") + F.col("s.target") * OVER
+    left = left.where((F.col("size") <= limit) & ~_taken(F.col("rank"), F.col("size"), F.col("s.steps"), F.lit(None).cast("double")))
+    left = left.groupBy("source", "rank").agg(F.sum("size").alias("size"), F.first(limit).alias("limit")).where("size <= limit")
+    last = left.groupBy("source").agg(F.min("rank").alias("last"))
+    state = _with(state, last, "l").select(F.col("source").alias("of"), "steps", F.col("l.last").alias("last"))
+    state = of_source.join(state, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    state = common.stored(state, "mix-order")
+    own = common.free_name(documents, "own")
+    mix = common.free_name(documents, "mix")
+    final = _with(documents.withColumn(own, F.struct(words("text").alias("size"), u.alias("u"))), state, mix)
+    size, held = F.col(own)["size"], F.col(mix)
+    rank = common.free_name(documents, "rank")
+    final = final.withColumn(rank, F.when((held["f"] > 0) & (size > 0), _rank(size, F.col(own)["u"], held["f"], held["mean_lean"])))
+    extra = F.coalesce(_taken(F.col(rank), size, held["steps"], held["last"]), F.lit(False))
+    copies = (held["whole"] + extra.cast("long")).cast("long")
+    return final.select(*documents.columns, size.alias("size"), held["source_size"].alias("source_size"), held["target"].alias("target"), copies.alias("copies"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,35 +201,42 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it."""
-    drawn = mixture(docs)
-    return drawn.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    copy = common.free_name(docs, "copy")
+    kept = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    drawn = mixture(kept).where("copies > 0").withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return drawn.select("row.*")
 
 
-#: The same mix without bins: one ordered sum per source.
+#: The same mix without bins: each source's documents in one order, and a recursive step for each of them.
 OP10_SQL = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
-s as (select source, sum(size)::bigint as source_size from d group by source),
+with recursive d as (select doc_id, source, md5(coalesce(text, '')) as of_text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+h as (select *, (size * 1000000 // (size + 256))::bigint as lean from d),
+s as (select source, sum(size)::bigint as source_size, sum(lean::hugeint * size)::double as leans from h group by source),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
   (sum(source_size) over ())::double as total, source_size * 3 as cap from s),
 l as (select *, row_number() over (order by cap::double / weight, source nulls last) as nth,
   (total - coalesce(sum(cap) over (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)::double)
   / (sum(weight) over () - coalesce(sum(weight) over (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double)) as level from w),
 f as (select arg_min(level, nth) as water from l where cap >= level * weight),
-t as (select source, source_size, case when water is null then cap::double else least(cap::double, water * weight) end as target from l, f),
-e as (select doc_id, size, d.source, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as e,
-  (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
-  from d join t on d.source is not distinct from t.source),
-r as (select *, floor(e)::bigint as whole, e - floor(e) as p, target - source_size * floor(e) as need,
-  case when e - floor(e) > 0 then (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) end as rnk from e),
-c as (select *, sum(size) over (partition by source order by rnk range between unbounded preceding and current row) as upto from r where p > 0 and size > 0),
-g as (select source, any_value(need) as need, coalesce(max(case when upto <= need then rnk end), -1) as last_rank, coalesce(max(case when upto <= need then upto end), 0) as reached from c group by source),
-x as (select c.source, c.rnk, sum(size) as words, any_value(g.need - g.reached) as gap from c join g on c.source is not distinct from g.source where c.rnk > g.last_rank group by c.source, c.rnk),
-y1 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x where abs(words - gap) < gap group by source, gap),
-x2 as (select x.source, x.rnk, x.words, y1.gap - y1.fit.words as gap from x join y1 on x.source is not distinct from y1.source where x.rnk <> y1.fit.rnk),
-y2 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x2 where abs(words - gap) < gap group by source, gap),
-x3 as (select x2.source, x2.rnk, x2.words, y2.gap - y2.fit.words as gap from x2 join y2 on x2.source is not distinct from y2.source where x2.rnk <> y2.fit.rnk),
-y3 as (select source, gap, min({'off': abs(words - gap), 'rnk': rnk, 'words': words}) as fit from x3 where abs(words - gap) < gap group by source, gap)
-select doc_id, size, source_size, target,
-  (whole + case when p <= 0 or size = 0 then 0 when rnk <= g.last_rank then 1 when rnk = y1.fit.rnk or rnk = y2.fit.rnk or rnk = y3.fit.rnk then 1 else 0 end)::bigint * size as taken
-from r left join g on r.source is not distinct from g.source left join y1 on r.source is not distinct from y1.source left join y2 on r.source is not distinct from y2.source left join y3 on r.source is not distinct from y3.source
+t as (select source, source_size, leans, case when water is null then cap::double else least(cap::double, water * weight) end as target from l, f),
+e as (select *, case when source_size > 0 then target / source_size else 0.0::double end as e, case when source_size > 0 then leans / source_size else 0.0::double end as mean_lean from t),
+p as (select doc_id, size, h.source, source_size, target, floor(e)::bigint as whole, e - floor(e) as f,
+  (e - floor(e)) * (1 + 0.5::double * (1 - (e - floor(e))) * (mean_lean - lean) / 1000000) as p,
+  (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || of_text || ':mix'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+  from h join e on h.source is not distinct from e.source),
+r as (select *, case when f > 0 then (u / (1 - u)) / (p / (1 - p)) end as odds from p),
+o as (select source, odds, sum(size)::double as words, max(size) as size, row_number() over (partition by source order by odds / (1 + odds)) as nth from r where f > 0 and size > 0 group by source, odds),
+g as (
+  select source, 0::bigint as nth, any_value(target - source_size * whole) as gap, any_value(target - source_size * whole) as most, any_value(target) as target,
+    false as taken, null::double as odds, any_value(f) > 0 as open from p group by source
+  union all
+  select g.source, o.nth, case when o.words <= g.gap then g.gap - o.words else g.gap end,
+    case when o.words > g.gap and o.size <= g.most then g.gap else g.most end, g.target, o.words <= g.gap, o.odds,
+    not (o.words > g.gap and o.size <= g.most and g.gap <= g.target * 0.001)
+  from g join o on g.source is not distinct from o.source and o.nth = g.nth + 1 where g.open),
+z as (select source, min(gap) as gap, any_value(target) as target from g group by source having min(gap) > any_value(target) * 0.001),
+k as (select o.source, min(o.odds) as odds from o join z on o.source is not distinct from z.source left join g on g.source is not distinct from o.source and g.odds = o.odds and g.taken
+  where g.odds is null and o.words <= z.gap + z.target * 0.01 group by o.source)
+select doc_id, r.size, source_size, r.target, (r.whole + case when r.size > 0 and (g.taken or k.odds is not null) then 1 else 0 end)::bigint * r.size as taken
+from r left join g on r.source is not distinct from g.source and r.odds = g.odds left join k on r.source is not distinct from k.source and r.odds = k.odds
 """

@@ -566,12 +566,71 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(r.taken - r.target) <= max(50, 0.01 * r.target) and r.most <= 3
 
 
+def _greedy(rows, target, gap, f, mean_lean, seed="mix"):
+    """The ids of one source's rows (id, text, size) that the order gives one more copy."""
+    order = {}
+    for i, text, size in rows:
+        u = (int(hashlib.md5(f"{i}:{hashlib.md5(text.encode()).hexdigest()}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = f * (1 + 0.5 * (1 - f) * (mean_lean - size * 1000000 // (size + 256)) / 1000000)
+        if size:
+            order[i] = (u / (1 - u)) / (p / (1 - p)), size
+    taken, most = set(), gap
+    for i in sorted(order, key=order.get):
+        size = order[i][1]
+        if size <= gap:
+            taken.add(i)
+            gap -= size
+        elif size <= most:
+            if gap <= 0.001 * target:
+                break
+            most = gap
+    near = [i for i in sorted(order, key=order.get) if i not in taken and order[i][1] <= gap + 0.01 * target] if gap > 0.001 * target else []
+    taken.update(near[:1])
+    return taken, gap - sum(order[i][1] for i in near[:1])
+
+
+@pytest.mark.parametrize("per_bin", [1000, 3])
+def test_mix_passes_over_what_does_not_fit(spark, per_bin):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * (20000 if i % 150 == 3 else rng.randint(1, 400))), "ab"[i % 3 == 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mixture(df, bin_documents=per_bin).collect()}
+    for source in "ab":
+        mine = [(i, t, len(t.split())) for i, t, s in rows if s == source]
+        words = sum(size for _, _, size in mine)
+        target = got[mine[0][0]].target
+        whole = int(target // words)
+        lean = sum(size * 1000000 // (size + 256) * size for _, _, size in mine) / words
+        taken, gap = _greedy(mine, target, target - whole * words, target / words - whole, lean)
+        assert {i for i, _, _ in mine if got[i].copies == whole + 1} == taken and abs(gap) <= 0.01 * target
+
+
+def test_inclusion_follows_the_odds_over_seeds(spark):
+    rows = [(i, " ".join(["w"] * (40 if i % 2 else 400)), "ab"[i % 5 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    times, seeds = {}, 6
+    for seed in range(seeds):
+        for r in mixing.mixture(df, seed=f"s{seed}").where("copies > 0").collect():
+            times.setdefault((r.source, r.size), []).append(r.copies)
+    first = mixing.mixture(df).groupBy("source").agg(F.first("source_size").alias("s"), F.first("target").alias("t")).collect()
+    for r in first:
+        e = r.t / r.s
+        n = {size: sum(1 for i, t, s in rows if s == r.source and len(t.split()) == size) for size in (40, 400)}
+        lean = sum(n[z] * z * (z * 1000000 // (z + 256)) for z in n) / r.s
+        f, whole = e % 1, int(e)
+        for z in n:
+            p = whole + f * (1 + 0.5 * (1 - f) * (lean - z * 1000000 // (z + 256)) / 1000000)
+            drawn = sum(times.get((r.source, z), [])) / (seeds * n[z])
+            assert abs(drawn - p) < 4 * (0.25 / (seeds * n[z])) ** 0.5, (r.source, z, drawn, p)
+
+
 def test_water_filling_and_odd_rows(spark, odd, none):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 100)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got["a"] == 30 and got["c"] == 0 and got[None] == 300 and abs(sum(got.values()) - 1110) < 1e-6 and got["b"] == pytest.approx(780)
-    df = odd.drop("size").withColumnRenamed("row", "source_size")
+    df = odd.drop("size").withColumnRenamed("row", "source_size").withColumns({c: F.lit(1) for c in ("mix", "u", "rank", "gap", "steps", "of", "bin")})
     out = mixing.mixture(df)
+    assert out.columns == [*[c for c in df.columns if c != "source_size"], "size", "source_size", "target", "copies"]
     assert out.count() == len(ODD) and mixing.mixture(none.drop("size")).count() == 0
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mixture(df.repartition(3)).collect()))
 
