@@ -217,6 +217,75 @@ def test_quotes_are_linked_and_removed(spark):
     assert quotes.linked(df.limit(0)).count() == 0
 
 
+def _brute_links(rows):
+    """(conv, turn) -> (parent, n_quotes, n_linked) of messages (conv, turn, text), unique and without nulls."""
+    norm = lambda x: " ".join(re.split("[ \t\r\n]+", x)).strip(" ").lower()
+    units, quotes = {}, {}
+    for c, t, text in rows:
+        cut = [(len(re.sub("[^>]", "", (re.match(r"(?:[ \t]*>)+", x) or [""])[0])), re.sub(r"^(?:[ \t]*>)+", "", x)) for x in text.split("\n")]
+        runs = []
+        for k, (level, body) in enumerate(cut):
+            if not k or cut[k - 1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(body)
+        for place, (level, lines) in enumerate(runs):
+            whole, ones = norm(" ".join(lines)), [norm(x) for x in lines if norm(x)]
+            if whole and level == 0:
+                for u in {whole, *ones}:
+                    units.setdefault(u, []).append((c, t))
+            elif whole:
+                quotes.setdefault((c, t), []).append([whole, *ones])
+    ids, out = {(c, t) for c, t, _ in rows}, {}
+    for c, t in ids:
+        targets = []
+        for passage in quotes.get((c, t), []):
+            found = None
+            for u in passage:
+                near = [m for m in units.get(u, []) if m[0] == c and m[1] < t]
+                far = min(units.get(u, [(c, t)]))
+                found = found or (max(near) if near else far if far < (c, t) else None)
+            targets.append(found)
+        linked = [x for x in targets if x]
+        out[c, t] = (linked[0] if linked else (c, t - 1) if (c, t - 1) in ids else None, len(targets), len(linked))
+    return out
+
+
+def test_quotes_equal_brute_force(spark):
+    rng = random.Random(13)
+    words = [rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(30)]
+    made, rows = [], []
+    for c in range(40):
+        for t in range(rng.randint(1, 12) if c else 60):
+            if rng.random() < 0.1:
+                continue
+            lines = []
+            for _ in range(rng.randint(0, 2)):  # quotes of parts, of what comes later too, and nested ones
+                if made and rng.random() < 0.8:
+                    of = rng.choice(made)
+                    a = rng.randrange(len(of))
+                    lines += [f"{rng.choice(['> ', '>', '>> ', ' > > '])}{x.upper()}  " for x in of[a : a + rng.randint(1, 3)]]
+                lines.append(" ".join(rng.choices(words, k=rng.randint(1, 3))))
+            own = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 4))]
+            made.append(own)
+            rows.append((c, t, "\n".join(lines + own)))
+    rng.shuffle(rows)
+    want = _brute_links(rows)
+    names = ("to", "_c", "_t", "_bc", "_bt", "key", "found", "id", "hash", "a.b")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({n: F.lit(1) for n in names})
+    got = quotes.linked(df)
+    assert set(names) <= set(got.columns)
+    got = {(r.conv_id, r.turn): r for r in got.collect()}
+    assert sum(n for _, n, _ in want.values()) > 100
+    for m, (parent, n, k) in want.items():
+        r = got[m]
+        assert ((r.reply_to_conv, r.reply_to_turn) if r.reply_to_conv is not None else None, r.n_quotes, r.n_linked) == (parent, n, k)
+        assert parent is None or parent < m
+        root, depth = m, 0
+        while want[root][0]:
+            root, depth = want[root][0], depth + 1
+        assert (r.thread_conv, r.thread_turn, r.reply_depth) == (*root, depth)
+
+
 def test_quotes_use_no_python(spark, small):
     plan = quotes.op3_quotes(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
