@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,13 @@ class Automaton:
             hit = np.cumsum(edge[:-1]) > 0
         return hit, found
 
+    def hits(self, words: list[bytes]) -> bool:
+        """Whether any pattern occurs."""
+        if self.empty or not words:
+            return False
+        get = self.numbers.get
+        return next(self.machine.iter(tuple([get(w, 0) for w in words])), None) is not None
+
 
 def original_spans(text: str, hit: np.ndarray) -> list[dict]:
     """Character ranges, in the text as given, of the runs of hit words."""
@@ -97,15 +104,38 @@ def _in_order(rows: list) -> list[tuple[str | None, bytes]]:
     return sorted(((r.item, bytes(r.text)) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
-def _scan_all(documents: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+def _shipped(spark: SparkSession, items: list[tuple[str | None, bytes]], window: int) -> Callable[[], Automaton]:
+    """The automaton of items, for tasks; a reused worker keeps it."""
+    shared = spark.sparkContext.broadcast(items)
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:  # a reused worker keeps its automaton
+    def built() -> Automaton:
+        if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = Automaton(shared.value, window)
-        machine = _BUILT[key]
+        return _BUILT[key]
+
+    return built
+
+
+def _clean(documents: DataFrame, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> DataFrame:
+    """The rows of documents without a hit."""
+    automaton = _shipped(documents.sparkSession, items, window)
+    common.small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton()
+        for batch in common.slices(batches):
+            yield batch.filter(pa.array([not machine.hits(words_of(text)) for text in common.utf8(common.col(batch, "text")).to_pylist()]))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def _scan_all(documents: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
+    automaton = _shipped(documents.sparkSession, items, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton()
         for batch in common.slices(batches):
             rows = []
             for text in common.utf8(common.col(batch, "text")).to_pylist():
@@ -123,6 +153,12 @@ def _scan_all(documents: DataFrame, items: list[tuple[str | None, bytes]], windo
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct items (item, text) that have a text, and their bytes."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as text, sorted) and spans (original character ranges of hit runs) of each document.
 
@@ -132,8 +168,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = documents.sparkSession
     common.small_batches(spark)
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items, size = _items(benchmark)
     parts = -(-size // automaton_bytes) or 1
     if parts == 1:
         return _scan_all(documents, _in_order(items.collect()), window).drop("hit_words")
@@ -181,9 +216,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows without any benchmark window, whole."""
-    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
-    # the row's number stands in for doc_id, so that only the rows hit are dropped
-    found = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_row"))
-    return rows.join(hit, "_row", "left_anti").select(docs.columns)
+    """Pipeline stage: the rows without any benchmark window, whole; only the rows hit are dropped, not others of their doc_id."""
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    items, size = _items(benchmark)
+    if size <= AUTOMATON_BYTES:  # filtered in the scan itself
+        return _clean(docs, _in_order(items.collect()))
+    row = common.free_name(docs, "row")
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+    # the row's number stands in for doc_id
+    found = contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    hit = common.stored(found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias(row)), "decontamination-hit")
+    return common.matched(rows, hit, row, "left_anti").select(docs.columns)
