@@ -2,14 +2,18 @@
 
 A fingerprint's bit is 1 if more than half of the hashes of the text's word shingles have it. Distinct fingerprints are the
 leaves of a binary trie. The self-join walks pairs of trie nodes of one depth together, adds up the bits in which their paths
-differ and drops a pair as soon as the sum exceeds the budget. The top levels of that walk are the distribution: each pair of
-nodes at depth ``split`` that is still within the budget is one group of a Spark shuffle, and the walk below it runs inside the
-task over two sorted arrays, where a node is a range. The depth of the split follows the number of fingerprints, so that a
-group stays small; a fingerprint goes to at most sum(C(split, i), i <= budget) groups.
+differ and drops a pair as soon as the sum exceeds the budget.
+
+The distribution: two fingerprints within the budget are equal in one of BLOCKS (budget + 1) blocks of bits. For each block there is a trie
+whose first bits are those of the block, and its walk allows no difference in them; so a fingerprint goes to BLOCKS groups of a Spark
+shuffle, however many fingerprints there are. A group is a run of neighbouring values of a block, cut so that it holds about
+NODE_FINGERPRINTS; a single value with more is dealt again by the node pairs of the next bits that are still within the budget. Below, the walk runs
+inside the task over sorted arrays, where a node is a range. What decides the groups is a count per value of a block, at most
+BLOCKS * 2^13 numbers whatever the corpus is.
 
 A task does not return the pairs it finds but a spanning forest of them (at most one row per fingerprint), so a large group of
 near copies makes no square number of rows. The forests are joined by label exchange between the edges' ends (large star and
-small star), each round written to the shared folder.
+small star), each round written to the shared folder; nodes with very many edges are joined by broadcast (common.by_key).
 
 The pipeline's stage has a rule of its own, five-word shingles at a Jaccard similarity of 0.8 or more, which 64-bit fingerprints
 find too seldom: see near_copies.
@@ -34,8 +38,11 @@ from . import common
 SHINGLE = 4
 SEED = 42
 BUDGET = 4
-#: Fingerprints of a trie node at the depth of the split, on average at most.
+#: Fingerprints of a group, and into how many groups they are dealt at least (for parallel tasks).
 NODE_FINGERPRINTS = 1 << 16
+LEAST_GROUPS = 256
+#: Levels by which one value of a block is dealt again at most (a node pair of 2^DEEPEST by 2^DEEPEST is then a group).
+DEEPEST = 12
 #: Bounds of one vectorised step of the walk.
 LEAF = 16
 STEP_PAIRS = 1 << 16
@@ -109,11 +116,11 @@ class Forest:
                 self.root = up
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET, exact: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, root) of a spanning forest over all pairs within budget of two nodes at depth, or of one node (b is None).
 
-    a and b are the nodes' sorted distinct fingerprints (uint64), spent the bits in which the nodes' paths differ. Indices count
-    through a, then b.
+    a and b are the nodes' sorted distinct fingerprints (uint64), spent the bits in which the nodes' paths differ. Of pairs that differ in
+    the first exact bits none is needed, so the walk doesn't follow them. Indices count through a, then b.
     """
     both = a if b is None else np.concatenate([a, b])
     forest, base = Forest(len(both)), 0 if b is None else len(a)
@@ -159,7 +166,7 @@ def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget:
         below = []
         for (a0, a1), (b0, b1), more in ((lo_a, lo_b, 0), (hi_a, hi_b, 0), (lo_a, hi_b, 1), (hi_a, lo_b, 1)):
             err = nodes[:, 4] + more
-            keep = (err <= budget) & (a1 > a0) & (b1 > b0)
+            keep = (err <= (budget if depth >= exact else 0)) & (a1 > a0) & (b1 > b0)
             if b is None:
                 keep &= a0 <= b0  # of a node's own pairs, each unordered pair once
             below.append(np.stack([a0, a1, b0, b1, err], 1)[keep])
@@ -170,39 +177,65 @@ def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget:
     return child, forest.root[child]
 
 
-def split_depth(fingerprints: int, budget: int = BUDGET, at_most: int = NODE_FINGERPRINTS) -> int:
-    """Depth at which a node of evenly spread fingerprints holds at most at_most of them; at least 5, for parallel tasks."""
-    return min(24, max(5, (max(1, fingerprints) // at_most).bit_length()))
+def _blocks(budget: int) -> list[tuple[int, int]]:
+    """First bit and width of each of budget + 1 blocks, the wider ones first."""
+    n = budget + 1
+    widths = [64 // n + (k < 64 % n) for k in range(n)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def _groups(counts: list[tuple[int, int, int]], at_most: int) -> list[tuple[int, int, int, int]]:
+    """(block, value, group, levels) of each value of a block, from (block, value, n): neighbours share a group up to at_most."""
+    out, group, held, last = [], -1, 0, None
+    for block, value, n in sorted(counts):
+        if block != last or held + n > at_most:
+            group, held, last = group + 1, 0, block
+        held += n
+        out.append((block, value, group, min(DEEPEST, (n // at_most).bit_length() if n > at_most else 0)))
+    return out
+
 
+def edges(distinct: DataFrame, count: int, budget: int = BUDGET, at_most: int = NODE_FINGERPRINTS) -> DataFrame:
+    """Links (u, v) between fingerprints such that two are connected if and only if a chain within budget connects them.
 
-def edges(distinct: DataFrame, count: int, budget: int = BUDGET) -> DataFrame:
-    """Links (u, v) between fingerprints such that two are connected if and only if a chain within budget connects them."""
-    depth = split_depth(count, budget)
-    node = F.expr(f"cast(shiftrightunsigned(fp, {64 - depth}) as int)")
-    partner = F.explode(F.expr(f"filter(sequence(0, {(1 << depth) - 1}), q -> bit_count(q ^ node) <= {budget})")).alias("other") if depth <= 10 else F.explode(F.expr(f"transform(array({', '.join(map(str, _masks(depth, budget)))}), m -> node ^ m)")).alias("other")
-    dealt = distinct.select("fp", node.alias("node")).select("fp", "node", partner).select("fp", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"))
+    distinct: a stored table of the distinct fingerprints fp, count of them.
+    """
+    spark, blocks = distinct.sparkSession, _blocks(budget)
+    at_most = max(2, min(at_most, -(-count * len(blocks) // LEAST_GROUPS)))
+    turned = [f"struct({k} as block, shiftleft(fp, {first}) | shiftrightunsigned(fp, {(64 - first) % 64}) as turned)" if first else f"struct({k} as block, fp as turned)" for k, (first, _) in enumerate(blocks)]
+    width = F.element_at(F.array(*[F.lit(w) for _, w in blocks]), F.col("block") + 1)
+    dealt = distinct.select("fp", F.explode(F.expr(f"array({', '.join(turned)})")).alias("t")).select("t.block", "t.turned")
+    dealt = dealt.withColumn("value", F.call_function("shiftrightunsigned", F.col("turned"), (64 - width).cast("int")).cast("int"))
+    # at most (budget + 1) * 2^13 rows
+    counts = [tuple(r) for r in dealt.groupBy("block", "value").agg(F.count("*").alias("n")).collect()]
+    plan = spark.createDataFrame(_groups(counts, at_most), "block int, value int, group int, levels int")
+    dealt = dealt.join(F.broadcast(plan), ["block", "value"])
+    # the node of the next levels, and the nodes it meets
+    below = F.call_function("shiftleft", F.col("turned"), width)
+    node = F.when(F.col("levels") == 0, 0).otherwise(F.call_function("shiftrightunsigned", below, (64 - F.col("levels")).cast("int"))).cast("int")
+    meets = F.when(F.col("levels") == 0, F.array(F.lit(0))).otherwise(F.expr(f"filter(sequence(0, shiftleft(1, levels) - 1), q -> bit_count(q ^ node) <= {budget})"))
+    dealt = dealt.withColumn("node", node).withColumn("other", F.explode(meets))
+    dealt = dealt.select("turned", "block", "group", "levels", F.when(F.col("levels") > 0, F.col("value")).alias("value"), F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"))
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        low, high = (k.as_py() for k in key)
-        fps = np.sort(t.column("fp").to_numpy().view(np.uint64))
+        block, _, levels, _, low, high = (k.as_py() for k in key)
+        first, width = blocks[block]
+        fps = np.sort(t.column("turned").to_numpy().view(np.uint64))
         if low == high:
-            at, root = linked(fps, None, depth, 0, budget)
+            at, root = linked(fps, None, width + levels if levels else 0, 0, budget, width)
         else:
-            cut = int(np.searchsorted(fps, np.uint64(high << (64 - depth))))
+            depth = width + levels
+            shared = int(fps[0]) >> (64 - width)
+            cut = int(np.searchsorted(fps, np.uint64((shared << levels | high) << (64 - depth))))
             if cut in (0, len(fps)):
                 at = root = np.zeros(0, np.int64)
             else:
-                at, root = linked(fps[:cut], fps[cut:], depth, (low ^ high).bit_count(), budget)
-        signed = fps.view(np.int64)
-        return pa.table({"u": signed[at], "v": signed[root]})
-
-    return dealt.groupBy("low", "high").applyInArrow(join, "u long, v long")
-
-
-def _masks(depth: int, budget: int) -> list[int]:
-    from itertools import combinations
+                at, root = linked(fps[:cut], fps[cut:], depth, (low ^ high).bit_count(), budget, width)
+        back = fps >> np.uint64(first) | fps << np.uint64(64 - first) if first else fps
+        back = back.view(np.int64)
+        return pa.table({"u": back[at], "v": back[root]})
 
-    return [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(depth), k)]
+    return dealt.groupBy("block", "group", "levels", "value", "low", "high").applyInArrow(join, "u long, v long")
 
 
 # ---- components -----------------------------------------------------------------------------------------------------
@@ -212,8 +245,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, root for each node of the links (u, v): root is the least node of its component.
 
     Each round joins every edge with the least neighbour of one end: larger neighbours are moved to it (large star), then
-    smaller ones (small star). The least neighbours are pre-aggregated before their shuffle and unique per node, so a node with
-    many edges is only a skewed side of an equi-join. Rounds end when nothing changes, after a logarithmic number of them.
+    smaller ones (small star). The least neighbours are pre-aggregated before their shuffle and unique per node, and nodes with a
+    large share of the edges are joined by broadcast. Rounds end when nothing changes, after a logarithmic number of them.
     """
     now = common.stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
@@ -224,11 +257,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = tuple(sums)
         # large star: every neighbour above a node goes to the least of the node and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its lesser neighbours go to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+        large = common.by_key(both.where("v > u"), common.stored(least, name), "u", sums[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = common.stored(large, name)
+        # small star: a node and its lesser neighbours go to the least of these; a node with many of them is a hot key too
+        least = common.stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+        small = common.by_key(large, least, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = common.stored(small, name)
     # stars: every node points at its root
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
@@ -238,13 +272,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of each document."""
     docs = common.stored(fingerprints(documents, shingle, seed), "fingerprints")
-    distinct = common.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    distinct = common.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     links = common.stored(edges(distinct.select("fp"), distinct.count(), budget), "links")
-    rooted = components(links).withColumnRenamed("node", "fp")
-    held = distinct.join(rooted, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = held.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = common.stored(held.join(least, "root").select("fp", "component_id"), "components-of-fingerprints")
-    return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    rooted = common.stored(components(links).withColumnRenamed("node", "fp"), "roots")
+    # a component's least id comes from its fingerprints' least ids; a fingerprint without links is its own
+    held = rooted.join(distinct, "fp")
+    least = held.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    linked_fps = common.by_key(held.select("fp", "root", F.col("n").alias("rows")), common.stored(least, "components-least"), "root", rooted.count())
+    alone = distinct.join(rooted, "fp", "left_anti").select("fp", F.col("first").alias("component_id"), "n")
+    of_fp = linked_fps.select("fp", "component_id", F.col("rows").alias("n")).unionByName(alone)
+    of_fp = common.stored(of_fp, "components-of-fingerprints")
+    return common.by_key(docs, of_fp, "fp", docs.count()).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -355,8 +393,10 @@ def near_copies(documents: DataFrame) -> DataFrame:
     followed = banded.withColumn("next", F.collect_list("same").over(after)).where("size(next) > 0").select("same", "band", F.posexplode("next").alias("nth", "other"))
     soon = (F.col("nth") == 0) & (F.col("band") < FIRST_BANDS)
     pairs = common.stored(followed.groupBy(F.least("same", "other").alias("u"), F.greatest("same", "other").alias("v")).agg(F.max(soon).alias("soon")), "near-pairs")
-    held = pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct().join(nodes.select("same", "_row"), "same")
-    sets = common.stored(_sets(documents.select("_row", "text").join(held, "_row")), "near-sets")
+    held = common.stored(pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct().join(nodes.select("same", "_row"), "same"), "near-held")
+    # their texts are found by row number, without a shuffle of texts while there are few enough
+    texts = documents.select("_row", "text").join(F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held, "_row")
+    sets = common.stored(_sets(texts), "near-sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
         left = sets.select(F.col("same").alias("u"), F.col("shingles").alias("a"))
@@ -369,8 +409,9 @@ def near_copies(documents: DataFrame) -> DataFrame:
     of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
     apart = pairs.where("not soon").join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     more = common.stored(confirmed(apart.select("u", "v")), "near-links")
-    root = components(links.union(more)).withColumnRenamed("node", "same")
-    return rows.join(root, "same", "left").select("_row", "doc_id", F.coalesce("root", "same").alias("group"))
+    root = common.stored(components(links.union(more)).withColumnRenamed("node", "same"), "near-roots")
+    of_same = rows.groupBy("same").agg(F.count("*").alias("n")).join(root, "same", "left").select("same", F.coalesce("root", "same").alias("group"), "n")
+    return common.by_key(rows.select("_row", "doc_id", "same"), common.stored(of_same, "near-groups"), "same", rows.count()).select("_row", "doc_id", "group")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -378,6 +419,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows decide, not ids: different texts of one doc_id, or of none, are each kept or dropped by their own group.
     """
-    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    kept = near_copies(rows).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select("k._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    row = common.free_name(docs, "row")
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    groups = common.stored(near_copies(rows.select(F.col(row).alias("_row"), "doc_id", "text")), "near-rows-of-groups")
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    dropped = common.stored(groups.select("_row").join(kept, "_row", "left_anti").toDF(row), "near-dropped")
+    return common.matched(rows, dropped, row, "left_anti").select(docs.columns)
