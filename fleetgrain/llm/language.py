@@ -30,6 +30,8 @@ WORDS = 1 << 18
 SWITCH = 3.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
+#: Texts still going on at or below which the path goes on text by text instead of a word of all of them at a time.
+FEW = 8
 
 #: First code points of script ranges, and the scripts' names.
 _RANGES = [
@@ -103,33 +105,69 @@ class Model:
         return out
 
     def path(self, words: Words, switch: float = SWITCH) -> np.ndarray:
-        """The language of each word on its text's best path; all texts take a step at a time, the longest ones last."""
-        scores, n = self.word_scores(words), len(words.starts)
-        if not n:
-            return np.zeros(0, np.int64)
-        texts, first, length = np.unique(words.owner, return_index=True, return_counts=True)
-        order = np.argsort(-length, kind="stable")
-        first, length = first[order], length[order]
-        active = np.searchsorted(-length, -np.arange(length[0]) - 1, "right")  # texts that have a word t
-        total = scores[first].copy()
-        best = np.zeros((n, 1), np.int16)
-        stay = np.ones((n, scores.shape[1]), bool)
-        for t in range(1, int(length[0])):
-            live = total[: active[t]]
-            top = live.argmax(1)
-            jump = live[np.arange(len(live)), top] - np.float32(switch)
-            at = first[: active[t]] + t
-            keep = live >= jump[:, None]
-            best[at, 0], stay[at] = top, keep
-            total[: active[t]] = np.where(keep, live, jump[:, None]) + scores[at]
-        out = np.empty(n, np.int64)
-        here = total.argmax(1)
-        for t in range(int(length[0]) - 1, -1, -1):
-            a = active[t]
-            at = first[:a] + t
-            out[at] = here[:a]
-            here[:a] = np.where(stay[at, here[:a]], here[:a], best[at, 0])
-        return out
+        """The language of each word on its text's best path."""
+        return best_paths(self.word_scores(words), words.owner, switch)
+
+
+def best_paths(scores: np.ndarray, owner: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best path over the words of each text; scores: (words, languages), owner: the text of each word, ascending.
+
+    All texts take a step at a time, the longest ones last. Once FEW are left, each goes on by itself over plain floats, so that time
+    grows with the words and not with the longest text; the sums are the same ones in the same order, so a text's path doesn't
+    depend on those beside it.
+    """
+    n = len(scores)
+    if not n:
+        return np.zeros(0, np.int64)
+    scores = scores.astype(np.float64)
+    _, first, length = np.unique(owner, return_index=True, return_counts=True)
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    active = np.searchsorted(-length, -np.arange(length[0]) - 1, "right")  # texts that have a word t
+    together = int(np.searchsorted(-active, -FEW, "left"))  # steps of more than FEW texts
+    before = np.empty_like(scores)  # of each word: the sums of the best paths up to the one before
+    total = scores[first].copy()
+    for t in range(1, together):
+        live = total[: active[t]]
+        at = first[: active[t]] + t
+        before[at] = live
+        total[: active[t]] = np.maximum(live, live.max(1)[:, None] - switch) + scores[at]
+    if together < length[0]:
+        for text in range(active[max(together, 1)] if max(together, 1) < length[0] else 0):
+            live, begin = total[text].tolist(), max(together, 1)
+            for k in range(begin, int(length[text]), 1 << 14):
+                a, b = first[text] + k, first[text] + min(k + (1 << 14), int(length[text]))
+                held = []
+                for row in scores[a:b].tolist():
+                    held.append(live)
+                    jump = max(live) - switch
+                    live = [(x if x >= jump else jump) + s for x, s in zip(live, row, strict=True)]
+                before[a:b] = held
+            total[text] = live
+    # back: where a path came from, if it didn't stay
+    top = before.argmax(1)
+    stay = before >= before[np.arange(n), top][:, None] - switch
+    out = np.empty(n, np.int64)
+    here = total.argmax(1)
+    split = max(together, 1)
+    for text in range(active[split] if split < length[0] else 0):
+        state = int(here[text])
+        for k in range(int(length[text]), split, -(1 << 14)):
+            a, b = first[text] + max(k - (1 << 14), split), first[text] + k
+            back = []
+            for s, m in zip(stay[a:b][::-1].tolist(), top[a:b][::-1].tolist(), strict=True):
+                back.append(state)
+                if not s[state]:
+                    state = m
+            out[a:b] = back[::-1]
+        here[text] = state
+    for t in range(min(split, int(length[0])) - 1, -1, -1):
+        a = active[t]
+        at = first[:a] + t
+        out[at] = here[:a]
+        if t:
+            here[:a] = np.where(stay[at, here[:a]], here[:a], top[at])
+    return out
 
 
 def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
