@@ -1,17 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two models, of toxic and of ordinary texts, share their last backoff. P(w | v) of a class is its discounted bigram count, then
-its Kneser-Ney unigram (in how many different left contexts w stands in the class), then the shared distribution: in how many
-documents of the whole corpus, labelled or not, w occurs. A word that no class has seen so gives both classes the same
-probability up to their backoff weights, and a word that one toxic text has by chance stays near the shared estimate if it is
-common elsewhere. A text's evidence is the difference of the two log-likelihoods, divided by its length; a logistic curve over
-that (and over it times the root of the length, which says how sure the mean is), fitted on labelled rows kept out of the
-counts, makes it a score.
+Two models, of toxic and of ordinary texts, share their last backoff. P(w | v) of a class is its discounted bigram count over the
+counts of v, then its Kneser-Ney unigram (in how many different left contexts w stands in the class), then the shared distribution: how
+often w occurs in the whole corpus, labelled or not. A text's evidence is the difference of its two log-likelihoods, toxic less
+ordinary, divided by its length.
+
+The discount of a count n is DISCOUNT * sqrt(n), what it may owe to chance, and EXPECTED times what the shared counts already explain: of a word's
+contexts the part that its share of the corpus is of its share of the class, of a bigram its share among those of v in the corpus, or what the
+class's unigram expects. What is discounted goes to the backoff. So a class keeps
+only what it says clearly more often than everyone; common words, a language that one class has more of, and passages that many documents
+share give both classes the same probability up to a constant, and so no evidence.
+
+A logistic curve over the evidence (and over it times the root of the length, which says how sure the mean is) makes it a score. It is fitted by
+cross-fitting: the counts are also kept without each of FOLDS folds of the labelled rows, and a row's evidence comes from the
+model without its fold. No label is given away: the model that scores has them all.
 
 Learning: labelled rows come in as (doc_id, toxic). Of each class at most ``class_rows`` (the least by a hash of doc_id) are
-read, a bound that keeps the broadcast model small; a fifth of them serve the calibration only, which brings the odds back to those
-of all labels. The shared counts cover every document. All counting is Spark aggregation; words are 64-bit hashes. A count that
-the discount takes whole (DISCOUNT squared or less, in both classes) leaves nothing in the model, so such bigrams and words need no
+read, a bound that keeps the broadcast model small; the curve brings the odds back to those of all labels. The shared counts cover every
+document. All counting is Spark aggregation; words are 64-bit hashes. A count
+that the discount takes whole (DISCOUNT squared or less, in both classes) leaves nothing in the model, so such bigrams and words need no
 row; all others are held, in sorted arrays. For a word without a row the shared estimate is the same factor in both classes and cancels.
 
 Nulls: a null or wordless text has length 0 and the score of no evidence; null labels are not learned from; a null doc_id is
@@ -32,11 +39,9 @@ from pyspark.sql import functions as F
 from . import common
 
 CLASS_ROWS = 6000
-#: The discount of a count n is DISCOUNT * sqrt(n), at most n: what a count may owe to chance goes to the backoff.
-DISCOUNT = 2.0
-#: Log-likelihood differences of a word up to this much (a factor of e) count as none, larger ones for what exceeds it: languages
-#: and subjects are never shared equally by the classes of a sample.
-TOLERANCE = 1.0
+DISCOUNT = 1.5
+EXPECTED = 1.5
+FOLDS = 4
 _WORDS = common.word_table(b"'")
 _START = np.uint64(0x5AFE)
 
@@ -70,126 +75,126 @@ def _place(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, of[at] == keys
 
 
-def _shared_counts(documents: DataFrame, words: np.ndarray) -> np.ndarray:
-    """In what share of all occurrences (a word in a document, once) each of words, ascending, is the word."""
-    known = documents.sparkSession.sparkContext.broadcast(words)
+def _shared_counts(documents: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray], float]:
+    """How often each of keys (ascending hashes of words, of words before and of bigrams) occurs, a bigram of a document once; and all."""
+    known = documents.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = known.value
-        counts, total = np.zeros(len(of), np.int64), 0
+        counts, total = [np.zeros(len(k), np.int64) for k in known.value], 0
         for batch in common.slices(batches):
-            words, _, owner = _hashed(batch)
-            _, once = np.unique(common.mixed(owner.astype(np.uint64)) ^ words, return_index=True)
-            at, has = _place(words[once], of)
-            counts += np.bincount(at[has], minlength=len(of))
-            total += len(once)
-        places = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], names=["place", "n"])
-        for k in range(0, len(places), 1 << 16):
-            s = places[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s])], names=["place", "n"])
-
-    rows = documents.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(words) + 1, np.float64)
-    out[rows.column("place").to_numpy()] = rows.column("n").to_numpy()  # the total at -1, the last
-    return np.maximum(out[:-1], 1) / max(1.0, out[-1])
+            words, before, _ = _hashed(batch)
+            total += len(words)
+            for of, n, got in zip(known.value, counts, (words, before, _pair_hash(before, words)), strict=True):
+                at, has = _place(got, of)
+                n += np.bincount(at[has], minlength=len(of))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names=["kind", "place", "n"])
+        for kind, n in enumerate(counts):
+            places = np.flatnonzero(n)
+            for k in range(0, len(places), 1 << 16):
+                s = places[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s.astype(np.int32)), pa.array(n[s])], names=["kind", "place", "n"])
+
+    rows = documents.select("text").mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
+    kind, place, n = (rows.column(c).to_numpy() for c in ("kind", "place", "n"))
+    out = [np.zeros(len(k)) for k in keys]
+    for k, counts in enumerate(out):
+        counts[place[kind == k]] = n[kind == k]
+    return out, float(max(1, n[kind == -1].sum()))
 
 
 def _bigrams(sample: DataFrame) -> DataFrame:
-    """kind (1 toxic, 0 not), v, w, n: the bigrams of the sample's texts, counted."""
+    """kind (1 toxic, 0 not), v, w and counts n0 (of all texts) and n1 to nFOLDS (of those not in fold 0 to FOLDS - 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             words, before, owner = _hashed(batch)
             if len(words):
-                toxic = common.col(batch, "toxic").to_numpy(zero_copy_only=False)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int32)), pa.array(before.view(np.int64)), pa.array(words.view(np.int64))], names=["kind", "v", "w"])
+                toxic, fold = (common.col(batch, c).to_numpy(zero_copy_only=False)[owner].astype(np.int32) for c in ("toxic", "fold"))
+                yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(fold), pa.array(before.view(np.int64)), pa.array(words.view(np.int64))], names=["kind", "fold", "v", "w"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "kind int, v long, w long").groupBy("kind", "v", "w").agg(F.count("*").alias("n"))
+    rows = sample.select("text", "toxic", "fold").mapInArrow(run, "kind int, fold int, v long, w long")
+    without = [F.count_if(F.col("fold") != f).alias(f"n{f + 1}") for f in range(FOLDS)]
+    return rows.groupBy("kind", "v", "w").agg(F.count("*").alias("n0"), *without)
 
 
-class Model:
-    """The counts, in arrays by ascending key; row 0 of a pair is the ordinary class, row 1 the toxic one."""
+class Counts:
+    """What all models share: keys in ascending order, the corpus's counts of them, and each model's counts of both classes."""
 
     def __init__(self, bigrams: DataFrame, documents: DataFrame, discount: float = DISCOUNT):
         grams = common.stored(bigrams, "toxicity-bigrams")
-        ones = grams.groupBy("kind").agg(F.count("*").alias("types")).collect()
-        self.seen = {r.kind: r.types for r in ones}
-        self.discount = discount
-        self.curve: np.ndarray | None = None
-        self.shipped = None
-        if set(self.seen) != {0, 1}:
+        models = range(FOLDS + 1)
+        sums = [x for j in models for x in (F.count_if(F.col(f"n{j}") > 0).alias(f"t{j}"), F.sum(f"n{j}").alias(f"s{j}"))]
+        whole = {r.kind: r for r in grams.groupBy("kind").agg(*sums).collect()}
+        #: Of each model and class: how many different bigrams, and how many.
+        self.types, self.tokens = (np.array([[whole[k][f"{x}{j}"] if k in whole else 0 for k in (0, 1)] for j in models], float) for x in "ts")
+        if not self.types[0].all():
             return
-        per = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in (0, 1)]
-        conts = [F.count_if(F.col("kind") == k).alias(f"c{k}") for k in (0, 1)]
-        holds = F.greatest("c0", "c1") > discount**2
-
-        def counts(rows: pa.Table, order: np.ndarray) -> np.ndarray:
-            return np.stack([rows.column(c).to_numpy()[order] for c in ("c0", "c1")]).astype(np.float32)
-
-        def by(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
-            keys = rows.column(key).to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            return keys[order], order
+        each = [(j, k) for j in models for k in (0, 1)]
+        per = [F.sum(F.when(F.col("kind") == k, F.col(f"n{j}")).otherwise(0)).alias(f"c{j}_{k}") for j, k in each]
+        contexts = [F.count_if((F.col("kind") == k) & (F.col(f"n{j}") > 0)).alias(f"c{j}_{k}") for j, k in each]
+        holds = F.greatest("c0_0", "c0_1") > discount**2
+
+        def of(rows: pa.Table, keys: np.ndarray, all_keys: np.ndarray, name: str = "c") -> np.ndarray:
+            out = np.zeros((FOLDS + 1, 2, len(all_keys)), np.float32)
+            at = np.searchsorted(all_keys, keys)
+            for j, k in each:
+                out[j, k, at] = rows.column(f"{name}{j}_{k}").to_numpy()
+            return out
 
-        # bigrams that the discount leaves something of
         pairs = common.stored(grams.groupBy("v", "w").agg(*per).where(holds), "toxicity-pairs")
         rows = pairs.toArrow()
         v, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
         key = _pair_hash(v, w)
         order = np.argsort(key)
-        self.pair_key, self.pairs = key[order], counts(rows, order)
-        # how often the word before stands as one, and how much of that its bigrams keep
-        lefts = grams.join(pairs.select("v").distinct(), "v").groupBy("v").agg(*per).toArrow()
-        self.left_key, order = by(lefts, "v")
-        self.lefts, self.mass = counts(lefts, order), np.zeros((2, len(order)))
-        place = np.searchsorted(self.left_key, v[np.argsort(key)])
-        for k in (0, 1):
-            np.add.at(self.mass[k], place, np.maximum(self.pairs[k] - discount * np.sqrt(self.pairs[k]), 0))
-        # in how many left contexts a word stands
-        words = common.stored(grams.groupBy("w").agg(*conts), "toxicity-words")
-        rows = words.where(holds).toArrow()
-        found, order = by(rows, "w")
+        self.pair_key, self.pair_v, self.pair_w = key[order], v[order], w[order]
+        self.pairs = of(rows, key, self.pair_key)
+        rows = grams.join(pairs.select("v").distinct(), "v").groupBy("v").agg(*per).toArrow()
+        found = rows.column("v").to_numpy().view(np.uint64)
+        self.left_key = np.sort(found)
+        self.lefts = of(rows, found, self.left_key)
+        often = [F.sum(F.when(F.col("kind") == k, F.col(f"n{j}")).otherwise(0)).alias(f"i{j}_{k}") for j, k in each]
+        rows = grams.groupBy("w").agg(*contexts, *often).where(holds).toArrow()
+        found = rows.column("w").to_numpy().view(np.uint64)
         self.word_key = np.union1d(found, w)
-        self.contexts = np.zeros((2, len(self.word_key)), np.float32)
-        self.contexts[:, np.searchsorted(self.word_key, found)] = counts(rows, order)
-        # what the discount leaves to the shared distribution
-        left_over = words.agg(*[F.sum(F.least(F.col(f"c{k}").cast("double"), discount * F.sqrt(f"c{k}"))).alias(f"c{k}") for k in (0, 1)]).first()
-        self.spare = {k: (left_over[f"c{k}"] or 0) / n for k, n in self.seen.items()}
-        self.shared = _shared_counts(documents, self.word_key)
+        self.contexts, self.often = of(rows, found, self.word_key), of(rows, found, self.word_key, "i")
+        (self.shared, self.shared_lefts, self.shared_pairs), self.total = _shared_counts(documents, [self.word_key, self.left_key, self.pair_key])
+
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"shipped": None}
+class Model:
+    """One model's probabilities, by ascending key; row 0 of a pair is the ordinary class, row 1 the toxic one."""
+
+    def __init__(self, counts: Counts, which: int = 0, discount: float = DISCOUNT, expected: float = EXPECTED):
+        self.word_key, self.left_key, self.pair_key = counts.word_key, counts.left_key, counts.pair_key
+        types = np.maximum(counts.types[which], 1)[:, None]
+        shared = np.maximum(counts.shared, 1) / counts.total
+        n = counts.contexts[which]
+        own = np.maximum(counts.often[which], 1) / np.maximum(counts.tokens[which], 1)[:, None]
+        held = np.maximum(n - discount * np.sqrt(n) - expected * n * shared / own, 0) / types
+        #: What the discount leaves to the shared distribution.
+        self.spare = 1 - held.sum(1)
+        self.words = held + self.spare[:, None] * shared
+        v, w = (_place(got, of)[0] for got, of in ((counts.pair_v, self.left_key), (counts.pair_w, self.word_key)))
+        after = counts.shared_pairs / np.maximum(counts.shared_lefts[v], 1) if len(v) else np.zeros(0)
+        n, lefts = counts.pairs[which], np.maximum(counts.lefts[which], 1)
+        held = np.maximum(n - discount * np.sqrt(n) - expected * lefts[:, v] * np.maximum(after, self.words[:, w]), 0) / lefts[:, v] if len(v) else np.zeros((2, 0))
+        self.pairs = held
+        self.rest = np.ones(lefts.shape)
+        for k in (0, 1):
+            np.subtract.at(self.rest[k], v, held[k])
 
     def evidence(self, words: np.ndarray, before: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood difference (toxic less ordinary) and length of each text."""
-        d = self.discount
 
-        def held_of(table: np.ndarray, at: np.ndarray, has: np.ndarray) -> np.ndarray:
-            return np.where(has, table[at], 0) if len(table) else np.zeros(len(at))
+        def found(table: np.ndarray, place: tuple[np.ndarray, np.ndarray], other: float) -> np.ndarray:
+            return np.where(place[1], table[place[0]], other) if len(table) else np.full(len(words), other)
 
-        ws, has_w = _place(words, self.word_key)
-        vs, has_v = _place(before, self.left_key)
-        ps, has_p = _place(_pair_hash(before, words), self.pair_key)
-        p_shared = np.where(has_w, self.shared[ws], 1.0) if len(self.shared) else np.ones(len(words))
-        logs, alone = [], []
+        ws, vs, ps = _place(words, self.word_key), _place(before, self.left_key), _place(_pair_hash(before, words), self.pair_key)
+        logs = []
         for k in (0, 1):
-            context = held_of(self.contexts[k], ws, has_w)
-            unigram = np.maximum(context - d * np.sqrt(context), 0) / self.seen[k] + self.spare[k] * p_shared
-            total = held_of(self.lefts[k], vs, has_v)
-            pair = held_of(self.pairs[k], ps, has_p)
-            held = np.maximum(pair - d * np.sqrt(pair), 0)
-            mass = held_of(self.mass[k], vs, has_v)
-            ok = total > mass
-            safe = np.where(ok, total, 1)
-            alone.append(np.log(unigram))
-            logs.append(np.log(np.where(ok, held / safe + (1 - mass / safe) * unigram, unigram)))
+            unigram = found(self.words[k], ws, self.spare[k])  # of a word without a row, up to its shared probability
+            logs.append(np.log(found(self.pairs[k], ps, 0.0) + found(self.rest[k], vs, 1.0) * unigram))
         n = np.bincount(owner, minlength=texts)
-        more, word = logs[1] - logs[0], alone[1] - alone[0]
-        # a passage that many texts share has frequent bigrams, but its words stand in one context: both orders must agree
-        more = np.where(np.sign(more) == np.sign(word), np.sign(more) * np.minimum(np.abs(more), np.abs(word)), 0)
-        more = np.sign(more) * np.maximum(np.abs(more) - TOLERANCE, 0)
-        return np.bincount(owner, more, texts) / np.maximum(n, 1), n
+        return np.bincount(owner, logs[1] - logs[0], texts) / np.maximum(n, 1), n
 
 
 def _score(curve: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -237,7 +242,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> Model | float:
+def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> Learned | float:
     """The model of documents (doc_id, text) by labels (doc_id, toxic); without labels of both classes, the share of toxic ones."""
     common.small_batches(documents.sparkSession)
     given = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -249,25 +254,44 @@ def learn(documents: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS)
     if share in (0.0, 1.0):
         return share
     # at most 2 * class_rows ids: a bounded side
-    sample = common.stored(documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic", (F.pmod("_order", F.lit(5)) == 0).alias("kept_out"))), "doc_id").dropDuplicates(["toxic", "text"]), "toxicity-sample")
-    model = Model(_bigrams(sample.where("not kept_out")), documents)
-    if set(model.seen) != {0, 1}:
+    chosen = F.broadcast(chosen.select("doc_id", "toxic", F.pmod("_order", F.lit(FOLDS)).cast("int").alias("fold")))
+    sample = common.stored(documents.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["toxic", "text"]), "toxicity-sample")
+    counts = Counts(_bigrams(sample), documents)
+    if not counts.types[0].all():
         return share
-    model.shipped = documents.sparkSession.sparkContext.broadcast(model)  # once: the curve, found next, travels with the tasks
-    rows = evidence(sample.where("kept_out"), model, ["toxic"]).toArrow()
+    model = Learned(Model(counts))
+    rows = _crossed(sample, [Model(counts, f + 1) for f in range(FOLDS)]).toArrow()
     mean, n, y = (rows.column(c).to_numpy() for c in ("mean", "n", "toxic"))
-    if len(set(y.tolist())) < 2:
-        model.curve = np.array([math.log(share / (1 - share)), 1.0, 0.0])
-        return model
     # a class beyond class_rows is cut, so the sample's odds are brought back to those of all labels
     model.curve = fit_curve(_features(mean, n), y.astype(float))
-    odds = share / (1 - share) / (y.mean() / (1 - y.mean()))
-    model.curve[0] += math.log(odds)
+    model.curve[0] += math.log(share / (1 - share) / (y.mean() / (1 - y.mean())))
+    model.shipped = documents.sparkSession.sparkContext.broadcast(model.model)
     return model
 
 
-def evidence(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep, with mean and n: the mean log-likelihood difference and the words of each text."""
+class Learned:
+    """A model, the curve that makes its evidence a score, and the model as a broadcast variable."""
+
+    def __init__(self, model: Model):
+        self.model, self.curve, self.shipped = model, np.zeros(3), None
+
+
+def _crossed(sample: DataFrame, models: list[Model]) -> DataFrame:
+    """mean, n and toxic of the sample's texts, each by the model without its fold."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            hashed, fold = _hashed(batch), common.col(batch, "fold").to_numpy()
+            each = [m.evidence(*hashed, batch.num_rows) for m in shared.value]
+            mean = np.choose(fold, [m for m, _ in each])
+            yield pa.RecordBatch.from_arrays([pa.array(mean), pa.array(each[0][1]), common.col(batch, "toxic")], names=["mean", "n", "toxic"])
+
+    return sample.select("text", "fold", "toxic").mapInArrow(run, "mean double, n long, toxic int")
+
+
+def evidence(documents: DataFrame, model: Learned, keep: list[str]) -> DataFrame:
+    """keep, with mean, n and score: the mean log-likelihood difference and the words of each text."""
     shared, curve = model.shipped, model.curve
     fields = [f for f in documents.select(*keep).schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", mean double, n long, score double"
@@ -276,8 +300,7 @@ def evidence(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         m = shared.value
         for batch in common.slices(batches):
             mean, n = m.evidence(*_hashed(batch), batch.num_rows)
-            score = _score(curve, mean, n) if curve is not None else np.zeros(len(n))
-            yield pa.RecordBatch.from_arrays([*(common.col(batch, c) for c in keep), pa.array(mean), pa.array(n), pa.array(score)], names=[*keep, "mean", "n", "score"])
+            yield pa.RecordBatch.from_arrays([*(common.col(batch, c) for c in keep), pa.array(mean), pa.array(n), pa.array(_score(curve, mean, n))], names=[*keep, "mean", "n", "score"])
 
     return documents.select(*keep, "text").mapInArrow(run, schema)
 
@@ -307,7 +330,7 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _filtered(docs, model)
 
 
-def _filtered(docs: DataFrame, model: Model) -> DataFrame:
+def _filtered(docs: DataFrame, model: Learned) -> DataFrame:
     shared, curve = model.shipped, model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

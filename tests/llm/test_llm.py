@@ -75,43 +75,58 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.scores(none, labels).count() == 0
 
 
-def test_toxicity_holds_every_count_and_all_ordinary_rows(spark):
+def test_scores_equal_brute_force_kneser_ney(spark):
     rng = random.Random(6)
-    words = [f"w{k}" for k in range(3000)]  # more than one to a slot of 2^18, had the model slots
-    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.7 else "a b" for _ in range(150)), int(i % 5 == 0)) for i in range(700)]
+    words = [f"w{k}" for k in range(3000)]  # many more than the model holds
+    some = [f"common{k}" for k in range(30)]
+
+    def text(toxic):
+        out = [rng.choice(words) if rng.random() < 0.5 else rng.choice(some) for _ in range(150)]
+        for k in range(0, 150, 30):
+            out[k : k + 2] = ["bad", rng.choice(["thing", "one"])] if toxic and rng.random() < 0.7 else out[k : k + 2]
+        return " ".join(out + ["a", "passage", "of", "many"] * (rng.random() < 0.5))
+
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
-    model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
-    kept_out = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(5)) == 0).select("doc_id").collect()}
-    grams = [{}, {}]
-    occurrences, total = {}, 0
-    for d, text, toxic in rows:
-        w = text.split()
-        for x in set(w):
-            occurrences[x] = occurrences.get(x, 0) + 1
-        total += len(set(w))
-        for p in {(v, x) for v, x in zip([None, *w], w)} if d not in kept_out else ():
-            grams[toxic][p] = grams[toxic].get(p, 0) + 1
-    assert model.seen == {k: len(grams[k]) for k in (0, 1)}
-    contexts, lefts, mass = ([{}, {}] for _ in range(3))
-    less = lambda c: max(c - 2 * c**0.5, 0)
+    # some rows have no label, but all are in the shared counts
+    model = toxicity.learn(df.drop("toxic"), df.where("doc_id < 600").select("doc_id", "toxic"))
+    grams, shared = [{}, {}], {}
+    for d, text_, toxic in rows:
+        w = text_.split()
+        for p in set(zip([None, *w], w)):
+            shared[p] = shared.get(p, 0) + 1
+            if d < 600:
+                grams[toxic][p] = grams[toxic].get(p, 0) + 1
+    total = sum(shared.values())
+    of_word, of_left = {}, {}
+    for (v, x), c in shared.items():
+        of_word[x], of_left[v] = of_word.get(x, 0) + c, of_left.get(v, 0) + c
+    uni, bi, rest = ([{}, {}] for _ in range(3))
     for k in (0, 1):
+        contexts, lefts, often, n = {}, {}, {}, len(grams[k])
+        for (v, x), c in grams[k].items():
+            contexts[x], lefts[v], often[x] = contexts.get(x, 0) + 1, lefts.get(v, 0) + c, often.get(x, 0) + c
+        own = {x: c / sum(often.values()) for x, c in often.items()}
+        held = {x: max(c - 1.5 * c**0.5 - 1.5 * c * of_word[x] / total / own[x], 0) / n for x, c in contexts.items()}
+        spare = 1 - sum(held.values())
+        uni[k] = {x: held.get(x, 0) + spare * c / total for x, c in of_word.items()}
         for (v, x), c in grams[k].items():
-            contexts[k][x] = contexts[k].get(x, 0) + 1
-            lefts[k][v] = lefts[k].get(v, 0) + c
-            mass[k][v] = mass[k].get(v, 0) + less(c)
-    spare = [sum(min(c, 2 * c**0.5) for c in contexts[k].values()) / len(grams[k]) for k in (0, 1)]
+            bi[k][v, x] = max(c - 1.5 * c**0.5 - 1.5 * lefts[v] * max(shared[v, x] / of_left[v], uni[k][x]), 0) / lefts[v]
+            rest[k][v] = rest[k].get(v, 1) - bi[k][v, x]
+    assert any(bi[1].values()) and uni[1]["bad"] > 2 * uni[0]["bad"]
     got = {r.doc_id: r["mean"] for r in toxicity.evidence(df, model, ["doc_id"]).collect()}
-    for d, text, _ in rows[:100]:
-        w, sum_, seen = text.split(), 0.0, set()
-        for v, x in zip([None, *w], w):
-            if (v, x) in seen:
-                continue
-            seen.add((v, x))
-            one = [less(contexts[k].get(x, 0)) / len(grams[k]) + spare[k] * occurrences[x] / total for k in (0, 1)]
-            two = [less(grams[k].get((v, x), 0)) / lefts[k][v] + (1 - mass[k][v] / lefts[k][v]) * one[k] if lefts[k].get(v, 0) > mass[k].get(v, 0) else one[k] for k in (0, 1)]
-            a, b = np.log(two[1] / two[0]), np.log(one[1] / one[0])
-            sum_ += np.sign(a) * max(min(abs(a), abs(b)) - 1, 0) if a * b > 0 else 0
-        assert got[d] == pytest.approx(sum_ / len(seen), abs=1e-5)
+    for d, text_, _ in rows[:100] + rows[-50:]:
+        w = text_.split()
+        pairs = set(zip([None, *w], w))
+        logs = [sum(np.log(bi[k].get((v, x), 0) + rest[k].get(v, 1) * uni[k][x]) for v, x in pairs) for k in (0, 1)]
+        assert got[d] == pytest.approx((logs[1] - logs[0]) / len(pairs), abs=1e-5)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    got = toxicity.op1_toxicity(spark, d).join(common.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    assert sum(r.predicted for r in got if r.toxic) >= 0.5 * sum(r.toxic for r in got)
+    assert not any(r.predicted for r in got if not r.toxic)
 
 
 def test_pair_hash_is_sparks(spark):
@@ -326,6 +341,39 @@ def test_mixed_languages_are_spans(spark):
     assert [s.lang for s in got.spans] == ["en", "de", "ru"]
 
 
+def _best_path_score(scores, path=None, switch=3.0):
+    """The score of path, or of the best one by the plain recurrence."""
+    if path is not None:
+        return sum(scores[t, k] - (switch if t and path[t - 1] != k else 0) for t, k in enumerate(path))
+    best = scores[0].copy()
+    for row in scores[1:]:
+        best = np.array([max(b - (switch if j != k else 0) for j, b in enumerate(best)) for k in range(len(row))]) + row
+    return best.max()
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_paths_equal_plain_viterbi(monkeypatch, few):
+    monkeypatch.setattr(language, "FEW", few)
+    rng = np.random.default_rng(few)
+    lengths = [1, 2, 40, 300, 7, 301]
+    scores = (rng.normal(0, 3, (sum(lengths), 5)) + np.repeat(rng.normal(0, 1, (sum(lengths) // 20 + 1, 5)), 20, 0)[: sum(lengths)]).astype(np.float32)
+    path = language.best_paths(scores, np.repeat(np.arange(len(lengths)), lengths))
+    at = 0
+    for n in lengths:
+        part = scores[at : at + n].astype(float)
+        assert _best_path_score(part, path[at : at + n]) == pytest.approx(_best_path_score(part), abs=1e-6)
+        at += n
+    monkeypatch.setattr(language, "FEW", 8)
+    assert (language.best_paths(scores, np.repeat(np.arange(len(lengths)), lengths)) == path).all()
+
+
+def test_long_texts_are_labelled_in_linear_time():
+    rows = pa.table({"text": ["the cat and the dog " * 60_000], "letters": [True], "doc_id": [1]})
+    model = language.Model(["a", "b"], np.ones((language.TRIGRAMS, 2)), np.ones((language.WORDS, 2)), np.ones((len(language.SCRIPTS), 2)))
+    began = time.time()
+    assert len(model.path(language.Words(rows.to_batches()[0]))) == 300_000 and time.time() - began < 4
+
+
 def test_languages_of_odd_rows(odd, none):
     got = {r.doc_id: r for r in language.labelled(odd, language.learn(odd)).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[5].lang_pred == "und" and got[3].lang_pred == "en"
