@@ -173,7 +173,7 @@ def valid_machine_id(c: Column) -> Column:
 
 def partial_success(signal: Column, body: Column) -> Column:
     """struct(outcome, rejected) of a 2xx response."""
-    blank = F.coalesce(F.trim(body), F.lit("")) == ""
+    blank = F.coalesce(_trimmed(body), F.lit("")) == ""
     v = F.try_parse_json(body)
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     wrapped = F.try_variant_get(v, "$.data", "variant")

@@ -148,16 +148,17 @@ def filter_journal(parsed: DataFrame, units: list[str] | None = None, identifier
     return out
 
 
-def resume_from(entries: DataFrame, state: DataFrame, host: str = "host", order: str = "position") -> DataFrame:
-    """Entries after the stored cursor of their host; without one, from the stored start (whole seconds), else all.
+def resume_from(entries: DataFrame, state: DataFrame, host: str = "host", order: str = "position", start_at: str = "beginning") -> DataFrame:
+    """Entries after the stored cursor of their host; without one, from the stored start (whole seconds), else all or, from the end, none.
 
+    A stored cursor that none of the host's entries has (they were rotated away) counts as none.
     state: host, cursor, since_us. entries: host, order, cursor, observed_us.
     """
     s = state.select(host, F.col("cursor").alias("_cursor"), F.col("since_us").alias("_since"))
     at = entries.join(s, host).where("cursor = _cursor").groupBy(host).agg(F.max(order).alias("_at"))
     rows = entries.join(s, host, "left").join(at, host, "left")
     since = F.expr("(_since div 1000000) * 1000000")
-    keep = F.when(F.col("_cursor").isNotNull(), F.col(order) > F.col("_at")).when(F.col("_since").isNotNull(), F.col("observed_us") >= since).otherwise(True)
+    keep = F.when(F.col("_at").isNotNull(), F.col(order) > F.col("_at")).when(F.col("_since").isNotNull(), F.col("observed_us") >= since).otherwise(start_at == "beginning")
     return rows.where(keep).select(entries.columns)
 
 

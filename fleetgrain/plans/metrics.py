@@ -203,10 +203,11 @@ def s3_flatten_otlp_metrics(spark: SparkSession, d: str) -> DataFrame:
     return otlp.flatten_metrics(_documents(spark, d).select("host", "payload")).select("host", "name", "kind", F.round("value", 6).alias("value"), flat())
 
 
-@query(f"with {tables.POINTS} select host, name, count(*) as n_points, 1::bigint as n_names from points where not isnan(value) and value >= 0 and (name like 'system.%' or name like 'host.%') group by all")
+@query(f"""with {tables.POINTS} select host, name, count(*) as n_points, count(distinct host) as n_hosts, count(distinct name) as n_names
+from points where not isnan(value) and value >= 0 and (name like 'system.%' or name like 'host.%') group by cube (host, name)""")
 def a6_otlp_summary(spark: SparkSession, d: str) -> DataFrame:
     p = otlp.flatten_metrics(_documents(spark, d).select("host", "payload"))
-    return otlp.summary(p.select("host", "name"), ["host", "name"])
+    return otlp.summary(p.where("name is not null").select("host", "name"))
 
 
 @query(f"""with {tables.POINTS}, c as (select host, name, count(*) as n from points group by all)

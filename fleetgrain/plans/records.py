@@ -88,10 +88,9 @@ def t6_cap_open_files(spark: SparkSession, d: str) -> DataFrame:
     return logs.active_files(log_files(spark, d), "source", "file").select("file", "active")
 
 
-@query(f"with {_FILES} select file, sha256(left(content, 64)) as fingerprint from files where strlen(left(content, 64)) = 64")
+@query(f"with {_FILES} select file, sha256(unhex(left(hex(encode(content)), 512))) as fingerprint from files")
 def h3_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    f = log_files(spark, d).where(F.octet_length(F.substring("content", 1, 64)) == 64)
-    return f.select("file", scalars.fingerprint(F.substring("content", 1, 64)).alias("fingerprint"))
+    return log_files(spark, d).select("file", scalars.fingerprint(F.col("content")).alias("fingerprint"))
 
 
 @query(f"with {_LINES} select file, pos, sha256('{scalars.FILE_TAG}' || chr(0) || 'src' || chr(0) || file || chr(0) || '0' || chr(0) || start_offset || chr(0) || end_offset) as admission_id from lines")
@@ -132,11 +131,11 @@ def journal(spark: SparkSession, d: str) -> DataFrame:
     unit = F.when(F.col("role") == "user", "web.service").when(F.col("role") == "assistant", "db")
     return c.select(
         F.col("conv_id").alias("host"), F.col("turn").alias("position"), F.col("turn").alias("fallback_us"),
-        F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("__CURSOR"), F.substring("text", 1, 40).alias("MESSAGE"), (F.col("turn") % 9).cast("string").alias("PRIORITY"), unit.alias("_SYSTEMD_UNIT"), F.when(F.col("turn") % 2 == 0, F.col("conv_id") * 1000).cast("string").alias("__REALTIME_TIMESTAMP"), (F.col("turn") + 1).alias("_PID"))).alias("value"),
+        F.to_json(F.struct(F.concat_ws(":", "conv_id", "turn").alias("__CURSOR"), F.col("text").alias("MESSAGE"), (F.col("turn") % 9).cast("string").alias("PRIORITY"), unit.alias("_SYSTEMD_UNIT"), F.when(F.col("turn") % 2 == 0, F.col("conv_id") * 1000).cast("string").alias("__REALTIME_TIMESTAMP"), (F.col("turn") + 1).alias("_PID"))).alias("value"),
     )
 
 
-_JOURNAL = """j as (select conv_id as host, turn as position, conv_id || ':' || turn as cursor, left(text, 40) as body, (turn % 9)::varchar as priority,
+_JOURNAL = """j as (select conv_id as host, turn as position, conv_id || ':' || turn as cursor, text as body, (turn % 9)::varchar as priority,
   case role when 'user' then 'web.service' when 'assistant' then 'db' end as unit, case when turn % 2 = 0 and conv_id > 0 then conv_id * 1000 else turn end as observed_us from conversations where text <> '')"""
 
 
@@ -169,13 +168,14 @@ def u2_all_logs(spark: SparkSession, d: str) -> DataFrame:
     return logs.all_logs(file, entries).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select user_id as host, event_id, [event_id % 97, event_id % 89, event_id % 83, 0, 1, 2, 3, 4][1] / 100.0::double as user_s, case when event_id % 5 <> 0 then (event_id % 1000) * 1000000 end as start_us from events where event_id % 1000 > 0")
+@query("""select user_id as host, event_id, list_transform([event_id % 97, event_id % 89, event_id % 83, 0, 1, 2, 3, 4], lambda x: x / 100.0::double)::varchar as seconds,
+case when event_id % 5 <> 0 then (event_id % 1000) * 1000000 end as start_us from events""")
 def s9_parse_proc_stat(spark: SparkSession, d: str) -> DataFrame:
     """Events as captures of /proc/stat."""
-    e = tables.table(spark, d, "events").where("event_id % 1000 > 0")
+    e = tables.table(spark, d, "events")
     text = F.concat(F.lit("cpu  "), F.concat_ws(" ", F.col("event_id") % 97, F.col("event_id") % 89, F.col("event_id") % 83, *[F.lit(k) for k in (0, 1, 2, 3, 4, 9, 9)]), F.lit("\ncpu0 1 2 3 4 5 6 7 8\n"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("btime "), F.col("event_id") % 1000, F.lit("\n"))).otherwise(""))
     got = files.parse_proc_stat(e.select(F.col("user_id").alias("host"), "event_id", text.alias("text")))
-    return got.select("host", "event_id", F.col("cpu")[0].alias("user_s"), "start_us")
+    return got.select("host", "event_id", F.concat(F.lit("["), F.array_join(F.transform("cpu", lambda x: x.cast("string")), ", "), F.lit("]")).alias("seconds"), "start_us")
 
 
 # ---- identity -------------------------------------------------------------------------------------------------------

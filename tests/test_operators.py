@@ -55,6 +55,27 @@ def test_framing_offsets_and_rejects(spark):
     assert [(r.start_offset, r.end_offset, r.line, r.why) for r in got] == [(0, 4, "ok", None), (4, 5, "", "empty"), (5, 11, "12345", "too_long")]
 
 
+def test_blank_responses_are_accepted(spark):
+    df = spark.createDataFrame([("",), ("\t\r\n",), (" ",), (None,), ("[]",), ('{"partialSuccess":{"rejectedDataPoints":"2"}}',)], "body string")
+    got = [tuple(r.p) for r in df.select(scalars.partial_success(F.lit("metrics"), F.col("body")).alias("p")).collect()]
+    assert got == [("accepted", 0)] * 4 + [("rejected", 0), ("rejected", 2)]
+
+
+def test_a_lost_cursor_falls_back(spark):
+    entries = spark.createDataFrame([(h, k, f"{h}{k}", k * 1_000_000) for h in "abc" for k in range(4)], "host string, position long, cursor string, observed_us long")
+    state = spark.createDataFrame([("a", "gone", 2_500_000), ("b", "b1", None)], "host string, cursor string, since_us long")
+    kept = lambda start: sorted((r.host, r.position) for r in logs.resume_from(entries, state, start_at=start).collect())
+    held = [("a", 2), ("a", 3), ("b", 2), ("b", 3)]
+    assert kept("end") == held and kept("beginning") == held + [("c", k) for k in range(4)]
+
+
+def test_chunks_without_valid_points_and_other_scripts(spark):
+    rows = [("h", 0, 1, i + 1, "other.x" if i < 2 else "host.é", "1", "gauge", 1.0, {}) for i in range(3)]
+    df = spark.createDataFrame(rows, "host string, observed_us long, start_us long, ordinal int, name string, unit string, kind string, value double, attributes map<string,string>")
+    got = P.batches(df, ["host", "observed_us"], {}, 2, 4096).orderBy("chunk").collect()
+    assert [r.n_points for r in got] == [0, 1] and "host.é" in got[1].payload
+
+
 def test_runs_of_invalid_bytes_become_one_sign(spark):
     df = spark.createDataFrame([(bytearray(b"\xff\xfea\xc3"),), (bytearray("é".encode()),), (None,)], "b binary")
     assert [r[0] for r in df.select(scalars.valid_utf8(F.col("b"))).collect()] == ["�a�", "é", None]
