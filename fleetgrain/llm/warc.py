@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by (page_id, payload digest, url) and cut into ranges. A task writes whole ranges, one after the other, and
-rolls to a range's next file when the compressed size passes roll_bytes; every record is a gzip member of its own, with header
+Records are sorted by (page_id, payload digest, url) and cut into ranges. A task writes a range and rolls to its next file when the
+compressed size passes roll_bytes; every record is a gzip member of its own, with header
 lines, block and payload digests and a record id made anew from its content. How many ranges there are follows the bytes of all
 payloads (one for RANGE_BYTES, MOST_RANGES at most), and their bounds are quantiles of the records whose hash is small
 enough, so names and bytes of the files depend on the pages alone: not on their partitions, on the number of tasks or on retries.
@@ -41,10 +41,10 @@ ROLL_BYTES = 32 << 20
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 0
 #: Payload bytes of a range of records, and how many ranges there are at most.
-RANGE_BYTES = 4 << 20
-MOST_RANGES = 10_000
+RANGE_BYTES = 1 << 20
+MOST_RANGES = 20_000
 #: Records per range of which the bounds are quantiles; with MOST_RANGES this bounds what the driver holds.
-SAMPLE = 32
+SAMPLE = 16
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 _FILES = "name string, temp string, bytes long, sha256 string, records long"
@@ -144,8 +144,8 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisi
     no_first = F.lit(None).cast("struct<page_id:bigint,url:string>").alias("first")
     records = pages.select(page, F.lit(1).alias("kind"), F.sha1(payload).alias("sha1"), "url", payload.alias("payload"), no_first)
     order = ["range", F.col("page_id").asc_nulls_last(), "sha1", "kind", F.col("url").asc_nulls_last()]
-    tasks = max(1, min(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = _ranged(records.unionByName(notes), bounds).repartition(tasks, "range").sortWithinPartitions(*order)
+    # a task for each range, so that tasks don't grow with the pages
+    ordered = _ranged(records.unionByName(notes), bounds).repartitionById(len(bounds) + 1, "range").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = uuid.uuid4().hex
