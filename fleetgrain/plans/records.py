@@ -596,21 +596,10 @@ def p8_reject_records(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents").select("doc_id", logs.valid_record("text").alias("kept"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"with {_JOURNAL} select cursor, body from j")
 def s2_read_journal_export(spark: SparkSession, d: str) -> DataFrame:
     """The journal written as lines of JSON, read and parsed."""
-    path = _folder(spark, "journal")
+    path = tables.shared_folder(spark, "journal")
     journal(spark, d).select("value").write.text(path)
     lines, _ = files.read_journal_export(spark, path)
     return logs.parse_journal(lines.withColumn("fallback_us", F.lit(0).cast("long"))).where("ok").select("cursor", "body")
@@ -621,7 +610,7 @@ def s8_samples(spark: SparkSession, d: str) -> DataFrame:
     """The fact table written by day, and one day read back."""
     import datetime
 
-    path = _folder(spark, "samples")
+    path = tables.shared_folder(spark, "samples")
     files.write_samples(samples(spark, d).withColumn("observed_at", F.timestamp_micros("observed_us")), path)
     day = datetime.datetime(2024, 1, 4, tzinfo=datetime.UTC)
     return files.read_samples(spark, path, day, day + datetime.timedelta(days=1)).select("entity_id", "metric_id", "observed_us", "value")
