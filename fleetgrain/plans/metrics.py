@@ -76,7 +76,7 @@ def _disks(most: int) -> str:
     for way, b, c, ms in (("read", "p", "p", "s"), ("write", "s", "s", "p")):
         for name, unit, value in (("io", "By", f"({b} * 512)::double"), ("operations", "{operations}", f"{c}::double"), ("operation_time", "s", f"round({ms} / 1000.0::double, 6)")):
             parts.append(f"select host, observed_us, 'system.disk.{name}' as name, '{unit}' as unit, 'sum' as kind, {value} as value, 'device=' || dev || ';direction={way}' as attributes from dk")
-    parts.append("select host, observed_us, 'system.disk.pending_operations', '{operations}', 'gauge', c::double, 'device=' || dev from dk")
+    parts.append("select host, observed_us, 'system.disk.pending_operations' as name, '{operations}' as unit, 'gauge' as kind, c::double as value, 'device=' || dev as attributes from dk")
     return f"dk as (select * from (select *, name as dev, row_number() over (partition by observed_us order by name) as n from disks) where n <= {most})", " union all ".join(parts)
 
 
@@ -132,7 +132,7 @@ _COUNTS = """has as (select s.*, coalesce(dc, 0) as dc, coalesce(nc, 0) as nc, c
   left join (select observed_us, count(*) as mc, sum(case when not ok and n <= 2 then 1 else 0 end) as bad from lm group by 1) using (observed_us))"""
 _ISSUES = " union all ".join(
     f"select host, observed_us, '{k}' as capability from has where {c}"
-    for k, c in (("counter_origin", "start_us is null"), ("memory", "total is null or not (total > 0 and available <= total)"), ("load", "l1 is null"), ("disk", "nolines"), ("disk_cardinality", "dc > 3"), ("network", "nolines"), ("network_cardinality", "nc > 2"), ("filesystem", "nolines or bad > 0"), ("filesystem_cardinality", "mc > 2"))
+    for k, c in (("cpu", "cpu is null"), ("counter_origin", "cpu is not null and start_us is null"), ("memory", "total is null or not (total > 0 and available <= total)"), ("load", "l1 is null"), ("disk", "nolines"), ("disk_cardinality", "dc > 3"), ("network", "nolines"), ("network_cardinality", "nc > 2"), ("filesystem", "nolines or bad > 0"), ("filesystem_cardinality", "mc > 2"))
 )
 
 
@@ -142,19 +142,47 @@ def x7_issue_points(spark: SparkSession, d: str) -> DataFrame:
     return s.select("host", "observed_us", F.explode(reshape.issues(3, 2, 2)).alias("i")).select("host", "observed_us", F.col("i.capability").alias("capability"))
 
 
-_ALL = "with {}, {}, {}, {}, {}, {}, every as ({} union all {} union all {} union all {} union all {}), ".format(
-    tables.SNAPSHOTS, _MEM, _disks(3)[0], _nets(2)[0], _MOUNTS, _COUNTS, _MEMORY, _LOAD, _disks(3)[1], _nets(2)[1], _mount_points(2)
-)
+#: The CPU points of snapshots, as counters.with_cpu_used_pct and reshape.cpu_points make them.
+_CPU = """cp as (select *, list_sum(cpu) - list_sum(b) as total_d, cpu[4] - b[4] + cpu[5] - b[5] as idle_d from
+  (select host, observed_us, cpu, lag(cpu) over w as b, observed_us - lag(observed_us) over w as gap from snaps where cpu is not null window w as (partition by host order by observed_us))),
+cu as (select host, observed_us, cpu, case when gap > 0 and gap <= 120000000 and len(list_filter(range(1, 9), lambda i: cpu[i] < b[i])) = 0 and total_d > 0 then (total_d - idle_d) / total_d * 100 end as used from cp)"""
+_CPU_POINTS = " union all ".join([
+    *[f"select host, observed_us, 'system.cpu.time' as name, 's' as unit, 'sum' as kind, cpu[{i}] as value, 'state={state}' as attributes from cu" for i, state in enumerate(counters.CPU_STATES, 1)],
+    "select host, observed_us, 'host.cpu.used_pct' as name, '%' as unit, 'gauge' as kind, round(used, 6) as value, '' as attributes from cu where used is not null",
+    "select host, observed_us, 'system.cpu.utilization' as name, '1' as unit, 'gauge' as kind, round(used / 100, 6) as value, 'state=used' as attributes from cu where used is not null",
+])
+
+
+def _placed(*families: tuple[str, str]) -> str:
+    """All points with their place: the family, the device or mountpoint in it, the point of it. families: (SQL, key) pairs."""
+    return " union all ".join(f"select *, {n} as family, {key} as owner, {k} as nth from ({part})" for n, (sql, key) in enumerate(families) for k, part in enumerate(sql.split(" union all ")))
+
+
+_DEVICE, _MOUNTED = "regexp_extract(attributes, 'device=([^;]*)', 1)", "regexp_extract(attributes, 'mountpoint=([^;]*)', 1)"
+_EVERY = _placed((_CPU_POINTS, "''"), (_MEMORY.replace("\nunion all ", " union all "), "''"), (_LOAD, "''"), (_disks(3)[1], _DEVICE), (_nets(2)[1], _DEVICE), (_mount_points(2), _MOUNTED))
+_CAP = 30
+#: with ... sample as (points of whole snapshots under the caps, then issue points): see t4_cap_sample.
+SAMPLE = f"""with {tables.SNAPSHOTS}, {_MEM}, {_CPU}, {_disks(3)[0]}, {_nets(2)[0]}, {_MOUNTS}, {_COUNTS}, every as ({_EVERY}),
+kept as (select e.*, row_number() over (partition by e.observed_us order by family, owner, nth) as n from every e join snaps s using (observed_us) where e.kind <> 'sum' or (s.start_us is not null and s.cpu is not null)),
+full_ones as (select host, observed_us, 'sample_cardinality' as capability from kept group by all having count(*) >= {_CAP}),
+issue as ({_ISSUES} union all select * from full_ones),
+parts as (select host, observed_us, name, unit, kind, value, attributes, n from kept where n <= {_CAP}
+  union all select host, observed_us, 'host.agent.collection.issue', '1', 'gauge', 1.0::double, 'collector=' || capability || ';reason=unavailable_or_denied',
+    1000 + list_position(['cpu', 'counter_origin', 'memory', 'load', 'disk', 'disk_cardinality', 'network', 'network_cardinality', 'filesystem', 'filesystem_cardinality', 'sample_cardinality'], capability) from issue)"""
+PLACED = "select host, observed_us, (row_number() over (partition by observed_us order by n))::int as ordinal, name, unit, kind, value, attributes from parts"
+
+
+def sampled(snapshots: DataFrame, telemetry: str | None = None) -> DataFrame:
+    """Points of the snapshots, under caps that cut: 30 points, three devices, two interfaces, two mounts."""
+    used = counters.with_cpu_used_pct(snapshots, tie="observed_us")
+    p = reshape.snapshot_points(used, _CAP, 3, 2, 2, telemetry)
+    return p.select("host", "observed_us", "ordinal", "name", "unit", "kind", F.round("value", 6).alias("value"), flat())
 
 
-@query(_ALL + f"""kept as (select e.host, e.observed_us, e.kind, count(*) as n from every e join snaps s using (observed_us) where e.kind <> 'sum' or s.start_us is not null group by all),
-t as (select host, observed_us, sum(n) as n from kept group by all), i as (select host, observed_us, count(*) as k from ({_ISSUES}) group by all)
-select s.host, s.observed_us, (least(coalesce(t.n, 0), 20) + coalesce(i.k, 0) + case when coalesce(t.n, 0) >= 20 then 1 else 0 end)::bigint as n_points from snaps s left join t using (observed_us) left join i using (observed_us)
-where least(coalesce(t.n, 0), 20) + coalesce(i.k, 0) > 0""")
+@query(f"{SAMPLE} {PLACED}")
 def t4_cap_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Points of whole snapshots with sums without origin dropped (P3), a cap of 20 points (T4), and issues after it (U1)."""
-    p = reshape.snapshot_points(tables.snapshots(spark, d), 20, 3, 2, 2)
-    return p.groupBy("host", "observed_us").agg(F.count("*").alias("n_points"))
+    """Points of whole snapshots with sums without origin dropped (P3), a cap of 30 points (T4), and issues after it (X7)."""
+    return sampled(tables.snapshots(spark, d))
 
 
 @query(f"with {tables.POINTS} select host, ordinal, name, value from points where not isnan(value) and value >= 0 and (name like 'system.%' or name like 'host.%')")

@@ -77,11 +77,12 @@ points as (select user_id as host, 0::bigint as observed_us, (row_number() over
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host, observed_us, start_us (null for some), mem, load, disks, nets, mounts: orders as host snapshots, their lines as devices."""
+    """host, observed_us, start_us and cpu (null for some), mem, load, disks, nets, mounts: orders as host snapshots, their lines as devices."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("host"),
         F.col("o_orderkey").alias("observed_us"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") * 1000000).alias("start_us"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.array(*[(F.col("o_orderkey") % 9000 * (i + 3) + F.col("o_orderkey") * (i + 1) % 5).cast("double") for i in range(8)])).alias("cpu"),
         F.when(F.col("o_orderkey") % 7 != 0, F.struct((F.col("o_orderkey") % 1000).alias("total"), (F.col("o_custkey") % 700).alias("available"))).alias("mem"),
         F.when(F.col("o_orderkey") % 11 != 0, F.struct((F.col("o_orderkey") % 10 / 2).alias("l1"), (F.col("o_orderkey") % 6 / 4).alias("l5"), (F.col("o_orderkey") % 4 / 8).alias("l15"))).alias("load"),
     )
@@ -106,6 +107,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SNAPSHOTS = """
 snaps as (select o_custkey as host, o_orderkey as observed_us, case when o_orderkey % 5 <> 0 then o_custkey * 1000000 end as start_us,
+  case when o_orderkey % 13 <> 0 then list_transform(range(8), lambda i: ((o_orderkey % 9000) * (i + 3) + (o_orderkey * (i + 1)) % 5)::double) end as cpu,
   case when o_orderkey % 7 <> 0 then o_orderkey % 1000 end as total, case when o_orderkey % 7 <> 0 then o_custkey % 700 end as available,
   case when o_orderkey % 11 <> 0 then (o_orderkey % 10) / 2.0::double end as l1, case when o_orderkey % 11 <> 0 then (o_orderkey % 6) / 4.0::double end as l5,
   case when o_orderkey % 11 <> 0 then (o_orderkey % 4) / 8.0::double end as l15 from orders),

@@ -214,5 +214,22 @@ def test_caps_do_not_shuffle(spark, small):
     from fleetgrain.sources import tables
 
     snapshots = tables.snapshots(spark, small)
-    one, two = (df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (snapshots, reshape.snapshot_points(snapshots)))
+    one, two = (df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (snapshots, reshape.snapshot_points(snapshots.withColumn("used_pct", F.lit(None).cast("double")))))
     assert one == two
+
+
+def test_sample_without_a_cpu_reading(spark):
+    schema = """host long, observed_us long, start_us long, cpu array<double>, mem struct<total:long,available:long>, load struct<l1:double,l5:double,l15:double>, disks array<struct<name:string,read_bytes:long,read_count:long,
+    read_ms:long,write_bytes:long,write_count:long,write_ms:long,in_progress:long>>, nets array<struct<name:string,rx_bytes:long,tx_bytes:long,rx_packets:long,tx_packets:long,rx_errs:long,tx_errs:long,rx_drops:long,tx_drops:long>>,
+    mounts array<struct<mountpoint:string,device:string,fstype:string,used:long,free:long,ok:boolean>>, stats map<string,long>"""
+    disk = [("sda", 1, 1, 1, 1, 1, 1, 3)]
+    first, later = [10.0, 0.0, 10.0, 70.0, 10.0, 0.0, 0.0, 0.0], [20.0, 0.0, 20.0, 80.0, 20.0, 0.0, 0.0, 0.0]
+    rows = [(1, at, 5, cpu, None, None, disk, [], [], {"scrapes": at}) for at, cpu in ((1, first), (2, None), (3, later))]
+    used = counters.with_cpu_used_pct(spark.createDataFrame(rows, schema), tie="observed_us")
+    got = {}
+    for r in reshape.snapshot_points(used, telemetry="stats").orderBy("observed_us", "ordinal").collect():
+        got.setdefault(r.observed_us, []).append((r.name, r.value, r.attributes.get("collector")))
+    # the lost reading has no origin, so no sums; the next reading is compared with the one before it
+    assert got[2] == [("system.disk.pending_operations", 3.0, None), *[("host.agent.collection.issue", 1.0, c) for c in ("cpu", "memory", "load")], ("host.agent.scrapes", 2.0, None)]
+    assert [p[:2] for p in got[3][8:10]] == [("host.cpu.used_pct", 50.0), ("system.cpu.utilization", 0.5)]
+    assert sum(n == "system.disk.io" for n, _, _ in got[1]) == 2
