@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics, records, streams
+from . import metrics, records, reports, streams
 
 QUERIES, ORACLES = {}, {}
-for _part in (metrics, records, streams):
+for _part in (metrics, records, reports, streams):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -411,28 +411,6 @@ def w8_delivery_outcome(spark: SparkSession, d: str) -> DataFrame:
     return delivery.batch_outcomes(delivery.classified(attempts(spark, d)))
 
 
-@query(f"""with {_ATTEMPTS}, {_OUTCOMES}, live as (select c.* from cls c left join fin f using (batch_id) where attempt <= least(4, coalesce(f.n, 4)))
-select host, count(distinct batch_id) as queued, count(*) filter (where outcome = 'accepted') as batches_accepted, count(*) filter (where outcome <> 'accepted') as export_failures, count(*) filter (where outcome = 'retry' and attempt < 4) as retries,
-  count(*) filter (where status = 429 and error is null) as throttles, count(*) filter (where outcome = 'unauthorized') as auth_failures, sum(rejected)::bigint as points_rejected, max(case when outcome = 'unauthorized' then 1 else 0 end)::bigint as delivery_paused from live group by host""")
-def a4_delivery_counters(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.delivery_counters(delivery.classified(attempts(spark, d)))
-
-
-@query(f"""with {_ATTEMPTS}, {_OUTCOMES}, {_LINES}, r as (select ('0x' || file)::bigint as host, count(*) as n, count(*) filter (where end_offset - start_offset > 256 or line = '') as bad from lines group by 1),
-s as (select host, count(*) as records_accepted, count(*) filter (where outcome = 'accepted' and rejected = 0) as records_delivered, sum(rejected)::bigint as server, sum(attempts - 1)::bigint as records_retried from outc where signal = 'logs' group by 1)
-select coalesce(r.host, s.host) as host, coalesce(n, 0) as records_read, coalesce(bad, 0) as records_rejected_local, coalesce(records_accepted, 0) as records_accepted, coalesce(records_delivered, 0) as records_delivered,
-  coalesce(server, 0) as records_rejected_server, coalesce(records_retried, 0) as records_retried, coalesce(bad, 0) + coalesce(server, 0) as records_dropped from r full join s on r.host = s.host""")
-def a5_log_counters(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d).select(F.conv("file", 16, 10).cast("long").alias("host"), logs.reject_reason(256).alias("reason"))
-    return delivery.log_counters(lines, delivery.batch_outcomes(delivery.classified(attempts(spark, d))))
-
-
-@query("""select user_id as host, (epoch_us(ts) // 60000000) * 60000000 as minute_us, count(*) filter (where event_id % 2 = 0) as records, count(*) filter (where event_id % 2 = 1) as logs_records, count(*) filter (where event_type = 'error') as errors from events group by all""")
-def a13_minute_report(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.table(spark, d, "events").select(F.col("user_id").alias("host"), tables.micros().alias("us"), F.when(F.col("event_id") % 2 == 0, "metrics").otherwise("logs").alias("signal"), F.col("event_type").alias("kind"))
-    return delivery.minute_report(e, ["host"])
-
-
 # ---- policies -------------------------------------------------------------------------------------------------------
 
 _CAPS = ("metrics", "logs", "traces", "processes")

@@ -233,3 +233,34 @@ def test_sample_without_a_cpu_reading(spark):
     assert got[2] == [("system.disk.pending_operations", 3.0, None), *[("host.agent.collection.issue", 1.0, c) for c in ("cpu", "memory", "load")], ("host.agent.scrapes", 2.0, None)]
     assert [p[:2] for p in got[3][8:10]] == [("host.cpu.used_pct", 50.0), ("system.cpu.utilization", 0.5)]
     assert sum(n == "system.disk.io" for n, _, _ in got[1]) == 2
+
+
+def test_counters_of_both_signals(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, "host long, us long, " + schema)
+    tries = [(1, 0, "b", 1, None, 429, ""), (1, 0, "b", 2, "timeout", None, None), (1, 70_000_000, "b", 3, None, 503, ""), (1, 70_000_000, "b", 4, None, 500, ""), (1, 0, "c", 1, None, 200, ""), (1, 0, "c", 2, None, 200, ""), (None, 0, "e", 1, None, 403, "")]
+    attempts = frame([(h, us, "metrics", *rest) for h, us, *rest in tries], "signal string, batch_id string, attempt int, error string, status int, body string")
+    scrapes = frame([(1, 0, 2, True, False), (1, 0, None, None, None)], "n_issues int, failed boolean, oversize boolean")
+    puts, spooled = frame([(1, 0, r) for r in ("queued", "full", "error")], "result string"), frame([(1, 0, True), (1, 0, False)], "ok boolean")
+    rows = delivery.delivery_increments(delivery.classified(attempts), scrapes, puts, spooled, ["host", "us"])
+    got = {r.host: {k: v for k, v in r.asDict().items() if v and k != "host"} for r in delivery.delivery_counters(rows, ["host"]).collect()}
+    # three further attempts and an exhausted cycle; nothing counts after a batch's final attempt
+    assert got[1] == {
+        "accepted_records": 3, "queued_records": 1, "retried_records": 4, "delivered_records": 1, "corrupt_records": 1, "delivery_paused": 1, "scrapes": 2, "read_errors": 3, "queue_rejected": 2,
+        "batches_accepted": 1, "export_failures": 5, "retries": 3, "throttles": 1, "dropped_batches": 2,
+    }
+    assert got[None] == {"export_failures": 1, "auth_failures": 1, "delivery_paused": 1}
+    body = '{"partialSuccess":{"rejectedLogRecords":2}}'
+    sent = frame([(1, 0, "logs", "x", 1, None, 200, body), (1, 0, "logs", "y", 1, None, 200, "")], "signal string, batch_id string, attempt int, error string, status int, body string")
+    files = frame([(1, 0, True, None), (1, 0, True, "permission"), (1, 0, True, "checkpoint")], "open boolean, error string")
+    lines, groups = frame([(1, 0, None), (1, 0, "empty")], "reason string"), frame([(1, 0, 1)], "n long")
+    journal = frame([(1, 0, None, None), (1, 0, None, "permission"), (1, 0, None, "checkpoint"), (1, 0, "empty", None)], "reason string, error string")
+    kept = frame([(1, 0, r) for r in ("queued", "existed", "error")], "result string")
+    more = delivery.log_increments(delivery.classified(sent), files, lines, groups, journal, kept, ["host", "us"])
+    assert {k: v for k, v in delivery.log_counters(more, ["host"]).first().asDict().items() if k != "host"} == {
+        "files_discovered": 1, "files_open": 1, "records_read": 5, "records_accepted": 1, "records_queued": 1, "records_delivered": 1, "records_retried": 0, "records_dropped": 4, "records_rejected_local": 2,
+        "records_rejected_server": 2, "permission_errors": 2, "checkpoint_errors": 2, "queue_rejected": 1, "authentication_paused": 0, "multiline_flushes": 1, "journal_records_read": 3, "journal_reader_errors": 1,
+        "journal_checkpoint_errors": 1,
+    }
+    report = {(r.host, r.minute_us): r for r in delivery.minute_report(delivery.report_increments(rows, more, ["host", "us"]), ["host"]).collect()}
+    assert set(report) == {(1, 0), (1, 60_000_000), (None, 0)}
+    assert (report[1, 0].retries, report[1, 60_000_000].retries, report[1, 0].logs_records_read, report[1, 60_000_000].logs_records_read) == (2, 1, 5, 0)
