@@ -409,7 +409,9 @@ def near_copies(documents: DataFrame) -> DataFrame:
     of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
     apart = pairs.where("not soon").join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     more = common.stored(confirmed(apart.select("u", "v")), "near-links")
-    root = common.stored(components(links.union(more)).withColumnRenamed("node", "same"), "near-roots")
+    # what the first links joined goes on as stars, so that only the further links take rounds
+    stars = root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    root = common.stored(components(stars.union(more)).withColumnRenamed("node", "same"), "near-roots")
     of_same = rows.groupBy("same").agg(F.count("*").alias("n")).join(root, "same", "left").select("same", F.coalesce("root", "same").alias("group"), "n")
     return common.by_key(rows.select("_row", "doc_id", "same"), common.stored(of_same, "near-groups"), "same", rows.count()).select("_row", "doc_id", "group")
 
