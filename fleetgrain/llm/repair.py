@@ -284,7 +284,7 @@ def _matrices(t: pa.Table) -> tuple[list, list[tuple]]:
 
 def _runs(convs: list) -> list[tuple[int, int]]:
     heads = [i for i, c in enumerate(convs) if not i or c != convs[i - 1]]
-    return list(zip(heads, [*heads[1:], len(convs)], strict=True))
+    return list(zip(heads, [*heads[1:], len(convs)][: len(heads)], strict=True))
 
 
 def _states(chunks: DataFrame) -> DataFrame:
