@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, flac, language, mixing, phrases, pii, quotes, repair, simhash, tokens, toxicity, warc
+from . import decontamination, flac, language, mixing, phrases, pii, quotes, repair, scoring, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
     "op11_repair": repair.op11_repair,
+    "op12_scoring": scoring.op12_scoring,
     "op13_phrases": phrases.op13_phrases,
 }
 ORACLES = {"op3_quotes": quotes.OP3_SQL, "op5_warc": warc.OP5_SQL, "op10_mixing": mixing.OP10_SQL, "op11_repair": repair.OP11_SQL, "op13_phrases": phrases.OP13_SQL}
