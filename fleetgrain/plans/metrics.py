@@ -219,8 +219,27 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return points.batches(p, ["host", "observed_us"], {"host.name": "h"}, 100, 4096)
 
 
-@query()
+_AROUND = """strlen('{"resourceMetrics":[{"resource":{"attributes":[{"key":"host.name","value":{"stringValue":"h"}}]},"scopeMetrics":[{"scope":{"name":"fleet.hostmetrics","version":"1"},"metrics":[]}]}]}')"""
+_SIZE = f"({_AROUND} + coalesce(list_sum(list_transform(p[lo + 1 : hi], lambda x: x.cost + case when x.before <= lo then x.first else 0 end)), 0) - (len(list_filter(p[lo + 1 : hi], lambda x: x.cost > 0)) > 0)::int)"
+
+
+@query(f"""with recursive {tables.POINTS},
+told as (select *, (ordinal - 1) // 100 as chunk, not isnan(value) and value >= 0 and (name like 'system.%' or name like 'host.%') as good,
+  '{{"name":"' || name || '","unit":"1",' || case when kind = 'sum' then '"sum":{{"dataPoints":[],"aggregationTemporality":2,"isMonotonic":true}}}}' else '"gauge":{{"dataPoints":[]}}}}' end as metric,
+  '{{' || case when kind = 'sum' then '"startTimeUnixNano":"1700000000000000000",' else '' end || '"timeUnixNano":"0","asDouble":' || value || ',"attributes":['
+    || case when kind = 'sum' then '{{"key":"_boot_time_unix","value":{{"stringValue":"1700000000"}}}},' else '' end
+    || '{{"key":"event","value":{{"stringValue":"' || event_type || '"}}}},{{"key":"k","value":{{"stringValue":"' || k || '"}}}}]}}' as text from points),
+placed as (select *, row_number() over (partition by host, chunk order by ordinal) as i from told),
+linked as (select *, coalesce(lag(i) over (partition by host, chunk, case when good then metric end order by i), 0) as before from placed),
+docs as (select host, chunk, list({{'before': before, 'cost': case when good then strlen(text) + 1 else 0 end, 'first': case when good then strlen(metric) else 0 end}} order by i) as p from linked group by all),
+parts as (select host, chunk, p, 0 as lo, len(p) as hi from docs
+  union all select host, chunk, p, case when half then lo + (hi - lo) // 2 else lo end, case when half then hi else lo + (hi - lo) // 2 end from
+    (select *, unnest([false, true]) as half from parts where hi - lo > 1 and {_SIZE} > 4096)),
+leaves as (select *, {_SIZE} as n_bytes from parts where hi - lo <= 1 or {_SIZE} <= 4096)
+select host, chunk, (row_number() over (partition by host, chunk order by lo) - 1)::int as part, len(list_filter(p[lo + 1 : hi], lambda x: x.cost > 0))::int as n_points, n_bytes::int as n_bytes
+from leaves where host not in (select host from leaves where n_bytes > 4096)""")
 def a3_batch_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points in documents of at most 100 points and 4,096 bytes."""
     return _documents(spark, d).select("host", "chunk", "part", "n_points", F.octet_length("payload").alias("n_bytes"))
 
 
