@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,35 +46,100 @@ def assemble_multiline(lines: DataFrame, key: list[str], start_pattern: str, max
     return groups.select(*key, "start_offset", "end_offset", F.size("l").alias("n_lines"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"), (F.col("_last") == last).alias("open"))
 
 
-def assemble_multiline_bytes(lines: DataFrame, key: list[str], start_pattern: str, max_lines: int = MAX_LINES, max_bytes: int = MAX_GROUP) -> DataFrame:
-    """As assemble_multiline, with a greedy cap of bytes too: a fold over each file's lines."""
-    start = re.compile(start_pattern)
+#: Lines of a block: what one task folds at a time.
+BLOCK_LINES = 4096
+
+
+def _blocks(lines: DataFrame, key: list[str], ahead: int, size: int) -> DataFrame:
+    """lines with _i (their place among the file's _total lines) and _block; the first ahead lines of a block are also the end (_i beyond it) of the block before.
+
+    Places are two sums: rows of stretches of positions, of which a file has a row each, and inside a stretch.
+    """
+    rows = lines.withColumn("_stretch", F.expr(f"pos div {size}"))
+    counts = rows.groupBy(*key, "_stretch").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*key))).drop("_n")
+    # a null in a key matches itself
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*key, "_stretch")]
+    rows = rows.alias("r").join(counts.alias("c"), same).select("r.*", "c._base", "c._total")
+    place = F.col("_base") + F.row_number().over(Window.partitionBy(*key, "_stretch").orderBy("pos")) - 1
+    rows = rows.withColumn("_i", place).withColumn("_own", F.expr(f"_i div {size}"))
+    twice = (F.col("_own") > 0) & (F.col("_i") % size < ahead)
+    return rows.withColumn("_block", F.explode(F.when(twice, F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own")))).drop("_stretch", "_base", "_own")
+
+
+def _next_groups(sizes: np.ndarray, starts: np.ndarray, max_lines: int, max_bytes: int) -> np.ndarray:
+    """Where the group that begins at each line ends: by the next start, the cap of lines or the cap of bytes, whichever comes first."""
+    n = len(sizes)
+    place = np.arange(n)
+    total = np.append(0, np.cumsum(sizes + 1))
+    # a group of lines i to j has total[j + 1] - total[i] - 1 bytes; its first line is in whatever its size
+    full = np.searchsorted(total, total[:-1] + max_bytes + 1, "right") - 1
+    begins = np.append(np.flatnonzero(starts), n)
+    after = begins[np.searchsorted(begins, place, "right")] if n else place
+    return np.minimum(np.minimum(after, place + max_lines), np.maximum(full, place + 1))
+
+
+def assemble_multiline_bytes(lines: DataFrame, key: list[str], start_pattern: str, max_lines: int = MAX_LINES, max_bytes: int = MAX_GROUP, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """As assemble_multiline, with a greedy cap of bytes too.
+
+    The fold over a file is composed of folds over blocks of block_lines lines. A group has at most max_lines lines, so the first
+    group that begins in a block begins at one of its first max_lines lines; for each of these a block's map says where the first group of the
+    next block then begins. Maps are small, and going through those of a file in order gives each block its entry. Groups are then built block by block, each with the lines ahead that its last group may take.
+    Lines are shuffled by (file, block), so a large file is many tasks; a file is one task only as a row of at most max_lines numbers a block.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    ddl = ", ".join(f"{k} {kinds[k]}" for k in key) + ", start_offset long, end_offset long, n_lines int, body string, open boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = {k: pdf[k].iloc[0] for k in key}
-        out, body, size = [], [], 0
-        first = last = 0
-
-        def close(pending: bool) -> None:
-            out.append(held | {"start_offset": first, "end_offset": last, "n_lines": len(body), "body": "\n".join(body), "open": pending})
-
-        for line, a, b in pdf.sort_values("pos")[["line", "start_offset", "end_offset"]].itertuples(index=False):
-            n = len(line.encode())
-            if body and (start.search(line) or len(body) >= max_lines or size + 1 + n > max_bytes):
-                close(False)
-                body, size = [], 0
-            if not body:
-                first = a
-            size += n + (1 if body else 0)
-            body.append(line)
-            last = b
-        if body:
-            close(True)
-        return pd.DataFrame(out, columns=[*key, "start_offset", "end_offset", "n_lines", "body", "open"])
-
-    return lines.groupBy(*key).applyInPandas(fold, ddl)
+    keys = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+    size = max(block_lines, 2 * max_lines)
+    rows = _blocks(lines.withColumn("_start", F.col("line").rlike(start_pattern)).withColumn("_size", F.octet_length("line")), key, max_lines, size)
+
+    def folded(t: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        """A block's lines in order, where each group would end, and how many lines are its own."""
+        t = t.sort_by("_i")
+        own = int((t.column("_i").to_numpy() // size == t.column("_block")[0].as_py()).sum())
+        return t, _next_groups(t.column("_size").to_numpy(), t.column("_start").to_numpy(), max_lines, max_bytes), own
+
+    def mapped(t: pa.Table) -> pa.Table:
+        t, after, own = folded(t)
+        to = after.copy()
+        for i in range(own - 1, -1, -1):  # from the end, so that each line's way out is known before those that lead to it
+            if after[i] < own:
+                to[i] = to[after[i]]
+        head = [t.column(k)[:1] for k in (*key, "_block")]
+        return pa.table([*head, pa.array([(to[: min(own, max_lines)] - own).tolist()], pa.list_(pa.int32()))], names=[*key, "_block", "_map"])
+
+    narrow = rows.select(*key, "_block", "_i", "_size", "_start")
+    maps = narrow.groupBy(*key, "_block").applyInArrow(mapped, f"{keys}, _block long, _map array<int>")
+
+    def entered(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_block")
+        at, out = 0, []
+        for to in t.column("_map").to_pylist():
+            out.append(at)
+            at = to[at] if at < len(to) else 0
+        return pa.table([*(t.column(k) for k in (*key, "_block")), pa.array(out, pa.int32())], names=[*key, "_block", "_entry"])
+
+    entries = maps.groupBy(*key).applyInArrow(entered, f"{keys}, _block long, _entry int")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*key, "_block")]
+    held = rows.select(*key, "_block", "_i", "_total", "_size", "_start", "start_offset", "end_offset", "line").alias("r").join(entries.alias("e"), same).select("r.*", "e._entry")
+
+    def built(t: pa.Table) -> pa.Table:
+        t, after, own = folded(t)
+        place, total = t.column("_i").to_pylist(), t.column("_total")[0].as_py()
+        first, ends = [], []
+        at = t.column("_entry")[0].as_py()
+        while at < own:
+            first.append(at)
+            at = int(after[at])
+            ends.append(at)
+        text, begin, end = t.column("line").to_pylist(), t.column("start_offset").to_pylist(), t.column("end_offset").to_pylist()
+        head = [pa.array([t.column(k)[0].as_py()] * len(first), t.schema.field(k).type) for k in key]
+        spans = list(zip(first, ends, strict=True))
+        values = [[begin[a] for a, _ in spans], [end[b - 1] for _, b in spans], [b - a for a, b in spans], ["\n".join(text[a:b]) for a, b in spans], [place[b - 1] == total - 1 for _, b in spans]]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+        return pa.table([*head, *(pa.array(v, k) for v, k in zip(values, types, strict=True))], names=[*key, "start_offset", "end_offset", "n_lines", "body", "open"])
+
+    return held.groupBy(*key, "_block").applyInArrow(built, f"{keys}, start_offset long, end_offset long, n_lines int, body string, open boolean")
 
 
 def file_generations(seen: DataFrame, key: list[str], at: str = "seen_at") -> DataFrame:

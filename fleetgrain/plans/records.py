@@ -60,11 +60,30 @@ def w4_assemble_multiline(spark: SparkSession, d: str) -> DataFrame:
     return logs.assemble_multiline(kept, ["file"], "^[A-F]", 5).withColumn("body", F.md5(F.col("body").cast("binary")))
 
 
-@query()
+@query(f"""with recursive {_LINES}, o as (select *, strlen(line) as size, regexp_matches(line, '^[A-F]') as start from lines),
+fold as (select file, pos, 0 as g, 1 as n, size::bigint as bytes from o where pos = 0
+  union all select file, pos, case when cut then g + 1 else g end, case when cut then 1 else n + 1 end, case when cut then size else bytes + 1 + size end
+  from (select f.g, f.n, f.bytes, o.file, o.pos, o.size, f.n >= 5 or f.bytes + 1 + o.size > 600 or o.start as cut from fold f join o on o.file = f.file and o.pos = f.pos + 1))
+select file, min(start_offset) as start_offset, max(end_offset) as end_offset, count(*)::int as n_lines, md5(string_agg(line, chr(10) order by pos)) as body,
+  max(pos) = max(max(pos)) over (partition by file) as open from fold join o using (file, pos) group by file, g""")
 def w4_assemble_multiline_bytes(spark: SparkSession, d: str) -> DataFrame:
     return logs.assemble_multiline_bytes(_lines(spark, d), ["file"], "^[A-F]", 5, 600).withColumn("body", F.md5(F.col("body").cast("binary")))
 
 
+@query("""with named as (select doc_id // 250 as file, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as content from documents group by 1),
+raw as (select file, unnest(string_split(content, chr(10))) as line, unnest(range(0, len(string_split(content, chr(10)))))::bigint as pos, len(string_split(content, chr(10))) as n from named),
+ends as (select *, sum(strlen(line) + 1) over (partition by file order by pos rows unbounded preceding)::bigint as end_offset from raw)
+select file, pos, end_offset - strlen(line) - 1 as start_offset, end_offset, md5(regexp_replace(line, '\r$', '')) as line from ends where pos < n - 1""")
+def w3_read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed as log files of up to 250 texts each, framed by byte ranges of the files."""
+    path = tables.shared_folder(spark, "log-files")
+    docs = tables.table(spark, d, "documents").select(F.expr("doc_id div 250").alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(path)
+    lines = files.read_lines(spark, path)
+    file = F.regexp_extract("path", "file=([0-9]+)", 1).cast("long")
+    return lines.select(file.alias("file"), "pos", "start_offset", "end_offset", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
 _SEEN = """seen as (select user_id as file, epoch_us(ts) as us, event_id, (value * 10)::bigint as size, (event_id % 40) * 10 as committed, event_id % 3 = 0 as reopened, event_type as fingerprint from events)"""
 
 
