@@ -304,6 +304,9 @@ BANDS = 20
 WIDTH = 5
 #: Members of a band's bucket that follow one, in the order of the next band's values, with which it is compared.
 FOLLOWERS = 8
+#: Rows of a band's bucket from which on it may be dealt to DEALS parts.
+DEAL_ROWS = 4096
+DEALS = 64
 #: Bands of which the nearest follower is compared first; what that joins needs no other comparison.
 FIRST_BANDS = 4
 
@@ -378,22 +381,66 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("same", "text").mapInArrow(run, "same long, shingles array<long>")
 
 
+def _dealt(banded: DataFrame, total: int) -> DataFrame:
+    """banded with deal: the part of its bucket that a row is compared in. Buckets with a large share of all rows are dealt by the next band's values."""
+    hot = common.stored(banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(total / common.HOT_KEYS, DEAL_ROWS)).select("key", F.lit(True).alias("hot")), "near-hot")
+    # fewer than HOT_KEYS rows by their definition
+    dealt = banded.join(F.broadcast(hot), "key", "left")
+    return dealt.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("tail"), F.lit(DEALS))).otherwise(0)).drop("hot")
+
+
+def _crowd(buckets: DataFrame, root: DataFrame) -> DataFrame:
+    """same and root of the nodes in buckets of which not all pairs were compared and whose members aren't all of one component."""
+    rows = buckets.join(root.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(apart, "key", "left_semi").groupBy("same").agg(F.first("root").alias("root"))
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """u, v: candidates among sets (same, root, shingles), with every pair of different roots whose similarity is SIMILAR or more.
+
+    All sets are put in one order, rarest shingles first. Two sets x and y, y not the larger, of the similarity or more share at least
+    need = SIMILAR / (1 + SIMILAR) * (|x| + |y|) shingles. The first shared one has need shingles from it on in both, so it's among the first
+    |x| - need + 1 of x, where |y| is at least SIMILAR * |x|, and among the first |y| - need + 1 of y, where |x| is at least |y|. What a template
+    gives to very many texts, unless it makes them similar, comes too late in y to be looked up, so such shingles join nothing.
+    """
+    held = sets.select("same", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    often = held.groupBy("h").agg(F.count("*").alias("f"))
+    ordered = held.join(often, "h").groupBy("same", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
+    first = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - 1e-9) + 1
+    prefix = ordered.select("same", "root", "n", F.posexplode(F.slice("o", F.lit(1), first.cast("int"))).alias("at", "o")).where("o.f > 1")
+    prefix = common.stored(prefix.select("same", "root", "n", "at", F.col("o.h").alias("h")), "near-prefixes")
+    share = SIMILAR / (1 + SIMILAR)
+    looked_up = prefix.where(F.col("at") <= F.col("n") - F.ceil(F.lit(2 * share) * F.col("n") - 1e-9))
+    x = prefix.toDF(*(f"x_{c}" for c in prefix.columns))
+    y = looked_up.toDF(*(f"y_{c}" for c in prefix.columns))
+    need = F.ceil(F.lit(share) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_same") < F.col("x_same")))
+    near = (F.col("y_n") >= F.lit(SIMILAR) * F.col("x_n") - 1e-9) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= need)
+    met = x.join(y, (F.col("x_h") == F.col("y_h")) & (F.col("x_root") != F.col("y_root")) & smaller & near)
+    return met.select(F.col("x_same").alias("u"), F.col("y_same").alias("v")).distinct()
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """_row, doc_id and group of each document (_row, doc_id, text): near copies, or chains of them, are of one group.
 
     Equal shingle sets are one node. Nodes that share a band of their signatures are candidates: each with the FOLLOWERS after
     it in its bucket, so a large bucket makes no square number of rows. Candidates are confirmed by the exact similarity of
-    their shingle sets, in equi-joins. Documents without words are equal.
+    their shingle sets, in equi-joins. A bucket with more members has pairs that were not compared; unless all of its members are of one
+    component by then, they go through an exact join by prefixes (prefix_pairs). Documents without words are equal.
     """
     common.small_batches(documents.sparkSession)
     rows = common.stored(_sketches(documents), "near-sketches")
     nodes = common.stored(rows.where("size(bands) > 0").groupBy("same").agg(F.min("_row").alias("_row"), F.first("bands").alias("bands")), "near-nodes")
-    after = Window.partitionBy("key").orderBy("tail", "same").rowsBetween(1, FOLLOWERS)
     banded = nodes.select("same", F.posexplode("bands").alias("band", "b")).select("same", "band", "b.key", "b.tail")
-    followed = banded.withColumn("next", F.collect_list("same").over(after)).where("size(next) > 0").select("same", "band", F.posexplode("next").alias("nth", "other"))
+    bucket = Window.partitionBy("key", "deal")
+    after = bucket.orderBy("tail", "same").rowsBetween(1, FOLLOWERS)
+    met = _dealt(banded, nodes.count() * BANDS).withColumn("next", F.collect_list("same").over(after)).withColumn("n", F.count("*").over(bucket)).where((F.col("n") > 1) | (F.col("deal") > 0))
+    met = common.stored(met.select("same", "band", "key", "n", "deal", "next"), "near-buckets")
+    followed = met.select("same", "band", F.posexplode("next").alias("nth", "other"))
     soon = (F.col("nth") == 0) & (F.col("band") < FIRST_BANDS)
     pairs = common.stored(followed.groupBy(F.least("same", "other").alias("u"), F.greatest("same", "other").alias("v")).agg(F.max(soon).alias("soon")), "near-pairs")
-    held = common.stored(pairs.select(F.explode(F.array("u", "v")).alias("same")).distinct().join(nodes.select("same", "_row"), "same"), "near-held")
+    held = common.stored(met.select("same").distinct().join(nodes.select("same", "_row"), "same"), "near-held")
     # their texts are found by row number, without a shuffle of texts while there are few enough
     texts = documents.select("_row", "text").join(F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held, "_row")
     sets = common.stored(_sets(texts), "near-sets")
@@ -404,14 +451,21 @@ def near_copies(documents: DataFrame) -> DataFrame:
         shared = F.size(F.array_intersect("a", "b"))
         return some.join(left, "u").join(right, "v").where(shared / (F.size("a") + F.size("b") - shared) >= SIMILAR).select("u", "v")
 
+    def joined(root: DataFrame, some: DataFrame) -> DataFrame:
+        # what earlier links joined goes on as stars, so that only the further links take rounds
+        stars = root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return common.stored(components(stars.union(common.stored(confirmed(some), "near-links"))), "near-roots")
+
     links = common.stored(confirmed(pairs.where("soon")), "near-links")
     root = common.stored(components(links), "near-roots")
     of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
     apart = pairs.where("not soon").join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    more = common.stored(confirmed(apart.select("u", "v")), "near-links")
-    # what the first links joined goes on as stars, so that only the further links take rounds
-    stars = root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    root = common.stored(components(stars.union(more)).withColumnRenamed("node", "same"), "near-roots")
+    root = joined(root, apart.select("u", "v"))
+    large = met.where((F.col("n") > FOLLOWERS + 1) | (F.col("deal") > 0)).select("same", "key")
+    crowd = common.stored(_crowd(large, root), "near-crowd")
+    if crowd.count():
+        root = joined(root, prefix_pairs(sets.join(crowd, "same")))
+    root = root.withColumnRenamed("node", "same")
     of_same = rows.groupBy("same").agg(F.count("*").alias("n")).join(root, "same", "left").select("same", F.coalesce("root", "same").alias("group"), "n")
     return common.by_key(rows.select("_row", "doc_id", "same"), common.stored(of_same, "near-groups"), "same", rows.count()).select("_row", "doc_id", "group")
 
