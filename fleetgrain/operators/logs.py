@@ -230,6 +230,23 @@ def valid_record(body: str = "body") -> Column:
     return F.coalesce((F.col(body) != "") & (F.octet_length(body) <= MAX_BODY), F.lit(False))
 
 
+#: Fixed value: largest payload.
+MAX_PAYLOAD = 4 << 20
+
+
+def payload_fault(payload: str = "payload", most: int = MAX_PAYLOAD) -> Column:
+    """empty, too_large, invalid or null: what keeps a payload (text or bytes) out; the bound is on its own bytes, and too large ones aren't parsed."""
+    size = F.octet_length(payload)
+    text = F.when(size <= most, F.col(payload).cast("string"))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too_large").when(F.try_parse_json(text).isNull(), "invalid")
+
+
+def reject_payloads(rows: DataFrame, payload: str = "payload", most: int = MAX_PAYLOAD) -> tuple[DataFrame, DataFrame]:
+    """The rows whose payload may be admitted, and the others with their reason."""
+    marked = rows.withColumn("reason", payload_fault(payload, most))
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
 def all_logs(files: DataFrame, journal: DataFrame) -> DataFrame:
     """File records and journal records as one set of columns."""
     return files.unionByName(journal, allowMissingColumns=True)

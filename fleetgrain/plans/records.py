@@ -546,10 +546,35 @@ def p13_secret_leak_scan(spark: SparkSession, d: str) -> DataFrame:
     return evidence.leaks(tables.table(spark, d, "documents"), ["token = ", "Apache License"], "text").select("doc_id", "marker")
 
 
-@query("select doc_id from documents where strlen(text) <= 2000 and not starts_with(text, chr(1))")
+@query("""with m as (select distinct text[1:12] as marker from documents where strlen(text) > 11 union select 'token = ' union select '(c)')
+select doc_id, marker from documents join m on contains(text, marker)""")
+def p13_leaks_of_a_table(spark: SparkSession, d: str) -> DataFrame:
+    """All texts against a table of markers: the first twelve characters of each of them, and two short ones."""
+    docs = tables.table(spark, d, "documents")
+    markers = docs.where("octet_length(text) > 11").select(F.substring("text", 1, 12).alias("marker")).union(spark.createDataFrame([("token = ",), ("(c)",)], "marker string"))
+    return evidence.leaks_of(docs, markers, "doc_id", "text")
+
+
+@query("""with p as (select doc_id, case when doc_id % 11 = 0 then '{"text":"' || hex(encode(text)) else case when doc_id % 17 = 0 then '' else '{"text":"' || hex(encode(text)) || '"}' end end as payload from documents)
+select doc_id, case when payload = '' then 'empty' when strlen(payload) > 4000 then 'too_large' when not json_valid(payload) then 'invalid' end as reason from p""")
 def p10_reject_oversize_payload(spark: SparkSession, d: str) -> DataFrame:
-    p = tables.table(spark, d, "documents").select("doc_id", "text", F.to_json(F.struct("text")).alias("payload"))
-    return p.where(F.try_parse_json("payload").isNotNull() & (F.octet_length("text") <= 2000)).select("doc_id")
+    """Payloads of all texts, some of them broken, empty or too large."""
+    whole = F.concat(F.lit('{"text":"'), F.hex(F.col("text").cast("binary")))
+    payload = F.when(F.col("doc_id") % 11 == 0, whole).when(F.col("doc_id") % 17 == 0, "").otherwise(F.concat(whole, F.lit('"}')))
+    kept, out = logs.reject_payloads(tables.table(spark, d, "documents").select("doc_id", payload.alias("payload")), "payload", 4000)
+    return kept.select("doc_id", F.lit(None).cast("string").alias("reason")).union(out.select("doc_id", "reason"))
+
+
+@query(f"with {_SAMPLES} select metric_namespace, count(*)::bigint as n, true as entities_near, true as metrics_near from samples where observed_us // 86400000000 >= 19724 group by all")
+def a6_distinct_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Different entities and metrics of each namespace from sketches per day, held against the exact numbers and the stated error."""
+    rows = samples(spark, d)
+    day = F.expr("observed_us div 86400000000")
+    sketches = evidence.distinct_sketches(rows, ["metric_namespace"], day, entities=F.col("entity_id"), metrics=F.col("metric_id"))
+    found = evidence.merged_distinct(sketches, ["metric_namespace"], ["entities", "metrics"], start=19724)
+    exact = rows.where(day >= 19724).groupBy("metric_namespace").agg(F.count_distinct("entity_id").alias("e"), F.count_distinct("metric_id").alias("m"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.ceil(F.col(b) * evidence.SKETCH_ERROR)
+    return found.join(exact, found.metric_namespace.eqNullSafe(exact.metric_namespace)).select(found.metric_namespace, "n", near("entities", "e").alias("entities_near"), near("metrics", "m").alias("metrics_near"))
 
 
 @query(f"with {_SAMPLES} select entity_id, metric_id, observed_us, ingested_us from samples order by observed_us desc, entity_id, metric_id, ingested_us limit 200")
