@@ -9,7 +9,7 @@ Patterns and instances form a bipartite graph. Seeds score 1, other instances 0
 of its instances' scores over their number plus SMOOTH; it is trusted at CONFIDENCE with SUPPORT or more distinct instances that are seeds or already
 discovered. Every candidate in trusted patterns is discovered; its score is the noisy-or of their confidences, and so it lends support
 to other patterns in the next round, whether these have seeds or not. Scores and trusted patterns only grow; rounds end when no
-pattern is added, after ROUNDS at most. Occurrences of candidates in trusted patterns become spans, of the kind that most trusted instances of the
+pattern is added and the confidences of all patterns together grow by less than STILL. Occurrences of candidates in trusted patterns become spans, of the kind that most trusted instances of the
 pattern have.
 
 Instances of equal text are one node; occurrences are aggregated to (pattern, instance) before any join, and patterns of SUPPORT instances
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 MIN_SIZE = 5
-ROUNDS = 20
+#: Rounds end when all confidences together grow by less.
+STILL = 1e-6
 SMOOTH = 0.5
 SUPPORT = 3
 CONFIDENCE = 0.6
@@ -168,8 +169,11 @@ def scan(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCANNED)
 
 
-def patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pattern, kind, confidence and n (its edges) of the trusted patterns; edges: (pattern, instance, kind), kind null for candidates."""
+def patterns(edges: DataFrame, rounds: int | None = None, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """pattern, kind, confidence and n (its edges) of the trusted patterns; edges: (pattern, instance, kind), kind null for candidates.
+
+    Scores and confidences only grow and are bounded, so rounds come to an end by themselves; rounds, if given, ends them sooner.
+    """
     links = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     links = common.stored(links, "pii-edges")
     wide = common.stored(links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > support), "pii-wide")
@@ -179,16 +183,18 @@ def patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, sup
     each = common.stored(each, "pii-instances")
     seeds = each.where("seed is not null").select("instance", F.lit(1.0).alias("score"), F.col("seed").alias("as"), "n")
     scores = seeds
-    trusted, before = None, 0
-    for _ in range(rounds):
+    before = None
+    for done in count(1):
         held = common.by_key(links.select("pattern", "instance"), scores, "instance", total, "left")
         counts = [F.count_if((F.col("as") == k) & (F.col("score") >= confidence)).alias(k) for k in KINDS]
         sums = held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("sum"), *counts)
         most = F.array_max(F.array(*[F.struct(F.col(k).alias("k"), F.lit(k).alias("kind")) for k in KINDS]))["kind"]
         sums = sums.select("pattern", "n", (F.col("sum") / (F.col("n") + F.lit(smooth))).alias("confidence"), sum(F.col(k) for k in KINDS).alias("support"), most.alias("kind"))
-        trusted = common.stored(sums.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).drop("support"), "pii-patterns")
-        now = trusted.count()
-        if now == before:
+        sums = common.stored(sums, "pii-sums")
+        trusted = sums.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).drop("support")
+        now = sums.agg(F.coalesce(F.sum("confidence"), F.lit(0.0)), F.count_if((F.col("confidence") >= confidence) & (F.col("support") >= support))).first()
+        # without a trusted pattern nothing is discovered; else all confidences and the trusted set must stand still
+        if not now[1] or done == rounds or (before is not None and now[1] == before[1] and now[0] - before[0] < STILL):
             break
         before = now
         unseen = common.by_key(links.where("kind is null").select("pattern", "instance"), trusted, "pattern", total)
@@ -199,7 +205,7 @@ def patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, sup
     return trusted
 
 
-def personal_data(documents: DataFrame, rounds: int = ROUNDS, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def personal_data(documents: DataFrame, rounds: int | None = None, smooth: float = SMOOTH, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base (spans of the fixed forms) and added (spans found by trusted patterns) of each document."""
     rows = common.stored(scan(documents).withColumn("row", F.monotonically_increasing_id()), "pii-occurrences")
     found = rows.select("row", F.explode("found").alias("o")).select("row", "o.*")

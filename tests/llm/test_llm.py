@@ -505,7 +505,7 @@ def test_pattern_graph_equals_brute_force(spark):
     of = {}
     for p, i in edges:
         of.setdefault(p, []).append(i)
-    score, as_kind, want = {i: float(k is not None) for i, k in kinds.items()}, dict(kinds), {}
+    score, as_kind, want, steady = {i: float(k is not None) for i, k in kinds.items()}, dict(kinds), {}, {}
     while True:
         now = {}
         for p, held in of.items():
@@ -513,8 +513,9 @@ def test_pattern_graph_equals_brute_force(spark):
             sure = sum(score[i] for i in held) / (len(held) + 0.5)
             if len(held) > 3 and len(good) >= 3 and sure >= 0.6:
                 now[p] = (max((good.count(k), k) for k in pii.KINDS)[1], sure)
-        done = set(now) == set(want)
-        want = now
+        sure = {p: sum(score[i] for i in held) / (len(held) + 0.5) for p, held in of.items()}
+        done = set(now) == set(want) and steady == sure
+        want, steady = now, sure
         if done:
             break
         for i, k in kinds.items():
@@ -528,6 +529,18 @@ def test_pattern_graph_equals_brute_force(spark):
     assert all(got[p][1] == pytest.approx(c) for p, (_, c) in want.items())
 
 
+def test_patterns_grow_to_their_fixed_point(spark):
+    """p2 has no seed and passes only when p1's confidence, which has stopped adding patterns by then, has grown far enough."""
+    edges = [("p1", f"s{k}", "email") for k in range(6)] + [(p, f"u{k}", None) for p in ("p1", "p2") for k in range(3)] + [("p2", "u3", None), ("p3", "u3", None)]
+    got = {r.pattern: r.confidence for r in pii.patterns(spark.createDataFrame(edges, "pattern string, instance string, kind string")).collect()}
+    p1 = p2 = 0.0
+    for _ in range(1000):  # the equations of the fixed point, from below
+        u = 1 - (1 - p1) * (1 - (p2 if p2 >= 0.6 else 0))
+        u3 = p2 if p2 >= 0.6 else 0
+        p1, p2 = (6 + 3 * u) / 9.5, (3 * u + u3) / 4.5
+    assert set(got) == {"p1", "p2"} and got["p1"] == pytest.approx(p1, abs=1e-4) and got["p2"] == pytest.approx(p2, abs=1e-4)
+
+
 @pytest.mark.parametrize("text", ["7" * (1 << 20), "a" * (1 << 20) + "7", "1." * (1 << 19), "a.b_" * (1 << 18), "a@b.c " * (1 << 17), "+1(" * (1 << 18)])
 def test_long_texts_are_scanned_in_linear_time(text):
     began = time.time()
