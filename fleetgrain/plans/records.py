@@ -122,10 +122,12 @@ def h4_file_identity(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents").select("doc_id", scalars.file_identity(F.col("doc_id"), F.col("doc_id") * 7).alias("identity"))
 
 
-@query("select doc_id, md5(text) as text from documents")
+@query("select doc_id, md5(text || case doc_id % 3 when 0 then chr(65533) || 'z' when 1 then 'x' || chr(65533) || 'y' || chr(65533) else '' end) as text from documents")
 def h5_valid_utf8(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of texts, all valid here; runs of invalid bytes are in the tests."""
-    return tables.table(spark, d, "documents").select("doc_id", F.md5(scalars.valid_utf8(F.col("text").cast("binary")).cast("binary")).alias("text"))
+    """Bytes of all texts, to most of which bytes that are no UTF-8 were added: a run of them becomes one sign."""
+    broken = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FFFE7A"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("78C379E282"))).otherwise(F.unhex(F.lit("")))
+    raw = F.concat(F.col("text").cast("binary"), broken)
+    return tables.table(spark, d, "documents").select("doc_id", F.md5(scalars.valid_utf8(raw).cast("binary")).alias("text"))
 
 
 @query(f"""with {_LINES} select file, pos, 'fleet.filelog' as scope, md5(line) as body, 'log.file.identity=' || file || ';log.file.record_end_offset=' || end_offset || ';log.file.record_offset=' || start_offset || ';log.source.type=file' as attributes
@@ -180,11 +182,14 @@ def p5_resume_from(spark: SparkSession, d: str) -> DataFrame:
     return logs.resume_from(parsed, state).select("host", "position")
 
 
-@query(f"with {_JOURNAL}, {_LINES} select 'journal' as kind, count(*) as n from j union all select 'file', count(*) from lines where line <> ''")
+@query(f"""with {_JOURNAL}, {_LINES} select 'journal' as kind, host::varchar as owner, position::bigint as place, md5(body) as body,
+  case when priority in ('0','1','2') then 'FATAL' when priority = '3' then 'ERROR' when priority = '4' then 'WARN' when priority in ('5','6') then 'INFO' when priority = '7' then 'DEBUG' else '' end as severity from j
+union all select 'file', file, start_offset, md5(line), null from lines where line <> ''""")
 def u2_all_logs(spark: SparkSession, d: str) -> DataFrame:
-    file = _lines(spark, d).where(logs.valid_record("line")).select(F.lit("file").alias("kind"), F.col("line").alias("body"), "start_offset")
-    entries = logs.parse_journal(journal(spark, d)).where("ok").select(F.lit("journal").alias("kind"), "body", "severity")
-    return logs.all_logs(file, entries).groupBy("kind").agg(F.count("*").alias("n"))
+    body = F.md5(F.col("body").cast("binary")).alias("body")
+    file = _lines(spark, d).where(logs.valid_record("line")).select(F.lit("file").alias("kind"), F.col("file").alias("owner"), F.col("start_offset").alias("place"), F.col("line").alias("body"))
+    entries = logs.parse_journal(journal(spark, d)).where("ok").select(F.lit("journal").alias("kind"), F.col("host").cast("string").alias("owner"), F.col("position").cast("long").alias("place"), "body", "severity")
+    return logs.all_logs(file, entries).select("kind", "owner", "place", body, "severity")
 
 
 @query("""select user_id as host, event_id, list_transform([event_id % 97, event_id % 89, event_id % 83, 0, 1, 2, 3, 4], lambda x: x / 100.0::double)::varchar as seconds,
@@ -369,10 +374,17 @@ def a12_spool_usage(spark: SparkSession, d: str) -> DataFrame:
     return admission.spool_usage(s, 40, 60000)
 
 
-@query("select o_custkey::varchar as scope, o_orderkey, lpad((row_number() over (partition by o_custkey order by o_orderkey))::varchar, 20, '0') as name from orders")
+@query("""with o as (select o_custkey::varchar as scope, o_orderkey, o_orderkey % 2 as half, '{"o_orderkey":' || o_orderkey || '}' as payload from orders),
+n as (select *, row_number() over (partition by scope order by half, o_orderkey) as seq from o)
+select scope, o_orderkey, seq::bigint as seq, lpad(seq::varchar, 20, '0') as name, payload, sha256(payload) as hash, 1 as version from n""")
 def s7_spool(spark: SparkSession, d: str) -> DataFrame:
+    """Records spooled in two runs, the second going on from what the first has written, and read back."""
     o = tables.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderkey"), F.to_json(F.struct("o_orderkey")).alias("payload"))
-    return files.spooled(o, None, "o_orderkey").select("scope", "o_orderkey", "name")
+    path = tables.shared_folder(spark, "spool")
+    files.write_spool(files.spooled(o.where("o_orderkey % 2 = 0"), None, "o_orderkey"), path)
+    first = files.read_spool(spark, path)
+    files.write_spool(files.spooled(o.where("o_orderkey % 2 = 1"), first, "o_orderkey"), path)
+    return files.read_spool(spark, path).select("scope", "o_orderkey", "seq", "name", "payload", "hash", "version")
 
 
 # ---- delivery -------------------------------------------------------------------------------------------------------
