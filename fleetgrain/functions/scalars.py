@@ -207,7 +207,14 @@ def retry_delay(signal: Column, header: Column, attempt: Column, now: Column, ji
     """Seconds until the next attempt: the server's own, else doubling up to 30; logs wait half an hour at most."""
     header = F.trim(F.coalesce(header, F.lit("")))
     seconds = F.when(header.rlike(r"^\+?[0-9]+\z"), header.try_cast("double"))
-    date = F.try_to_timestamp(F.substring(header, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
+    # the three forms of a date in HTTP; a day of the month may be filled with a blank in the last
+    spaced = F.regexp_replace(header, " +", " ")
+    forms = [
+        (r"^[A-Za-z]{3}, [0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8} GMT\z", F.substring(header, 6, 20), "dd MMM yyyy HH:mm:ss"),
+        (r"^[A-Za-z]{6,9}, [0-9]{2}-[A-Za-z]{3}-[0-9]{2} [0-9:]{8} GMT\z", F.regexp_extract(header, r", (.*) GMT\z", 1), "dd-MMM-yy HH:mm:ss"),
+        (r"^[A-Za-z]{3} [A-Za-z]{3} +[0-9]{1,2} [0-9:]{8} [0-9]{4}\z", F.regexp_extract(spaced, r"^[A-Za-z]+ (.*)\z", 1), "MMM d HH:mm:ss yyyy"),
+    ]
+    date = F.coalesce(*[F.when(header.rlike(form), F.try_to_timestamp(text, F.lit(pattern))) for form, text, pattern in forms])
     until = F.when(date > now, date.cast("double") - now.cast("double"))
     own = F.least(F.pow(F.lit(2.0), attempt), F.lit(30.0)) + (jitter if jitter is not None else F.lit(0.0))
     delay = F.coalesce(seconds, until, own)

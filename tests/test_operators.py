@@ -129,6 +129,7 @@ def test_batches_end_or_exhaust(spark):
 
 def test_retry_after(spark):
     rows = [("metrics", "1800", 0, 1800.0), ("logs", "7200", 0, 1800.0), ("metrics", "Mon, 01 Jan 2024 01:00:00 GMT", 0, 3600.0), ("metrics", "x", 3, 8.0), ("metrics", None, 9, 30.0)]
+    rows += [("metrics", h, 0, 3600.0) for h in ("Monday, 01-Jan-24 01:00:00 GMT", "Mon Jan  1 01:00:00 2024")] + [("metrics", "Mon, 01 Jan 2024 01:00:00 EST", 1, 2.0)]
     df = spark.createDataFrame(rows, "signal string, h string, attempt int, want double")
     got = df.select("want", scalars.retry_delay(F.col("signal"), F.col("h"), F.col("attempt"), F.to_timestamp(F.lit("2024-01-01 00:00:00"))).alias("d")).collect()
     assert all(r.want == r.d for r in got)
