@@ -53,7 +53,10 @@ def passages(text: str) -> Column:
 
 
 def without_quotes(text: str) -> Column:
-    return F.expr(f"trim(array_join(filter(split({text}, '\\\\n'), l -> not l rlike '{_MARK}'), '\\n'))".replace("[ \\t]", "[ \\\\t]"))
+    """The text without its quoted lines, trimmed; a text without any is as it was."""
+    mark = _MARK.replace("\\t", "\\\\t")
+    lines = f"split({text}, '\\\\n')"
+    return F.expr(f"if(exists({lines}, l -> l rlike '{mark}'), trim(array_join(filter({lines}, l -> not l rlike '{mark}'), '\\n')), {text})")
 
 
 def _units(messages: DataFrame, quoted: bool) -> DataFrame:
@@ -193,7 +196,8 @@ n as (select m.conv_id, m.turn, coalesce(a.target, case when b.turn is not null
 r as (select conv_id, turn, conv_id as thread_conv, turn as thread_turn, 0::bigint as depth from n where target is null
   union all select n.conv_id, n.turn, r.thread_conv, r.thread_turn, r.depth + 1 from n join r on n.target.c = r.conv_id and n.target.t = r.turn)
 select m.conv_id, m.turn, m.role,
-  trim(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: not regexp_matches(x, '^(?:[ \t]*>)+')), chr(10))) as text,
+  case when len(list_filter(string_split(m.text, chr(10)), lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) > 0
+    then trim(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: not regexp_matches(x, '^(?:[ \t]*>)+')), chr(10))) else m.text end as text,
   n.target.c as reply_to_conv, n.target.t::bigint as reply_to_turn, n.n_quotes, n.n_linked, r.thread_conv, r.thread_turn::bigint as thread_turn, r.depth as reply_depth
 from conversations m join n on n.conv_id = m.conv_id and n.turn = m.turn join r on r.conv_id = m.conv_id and r.turn = m.turn
 """

@@ -817,3 +817,9 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, small):
         docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, small).count() >= 0
+
+
+def test_texts_without_quotes_stay_as_they_are(spark):
+    rows = [(1, 0, "u", "  indented code\n"), (1, 1, "u", "> indented code\n\n  answer "), (1, 2, "u", " a > b "), (1, 3, "u", None), (1, 4, "u", " \t> all quoted")]
+    got = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [r.text for r in got] == ["  indented code\n", "\n  answer", " a > b ", None, ""]
