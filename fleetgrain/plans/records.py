@@ -330,6 +330,16 @@ def j3_idempotent_admission(spark: SparkSession, d: str) -> DataFrame:
     return admission.admit(s.where("seq % 2 = 0"), s.where("seq % 2 = 1 and seq % 3 = 0"), "seq").select("scope", "seq", "admission_id")
 
 
+@query(ORACLES["j3_idempotent_admission"])
+def j3_admission_to_a_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same against a spool table that is bucketed by scope and admission id."""
+    s = spool(spark, d)
+    path = tables.shared_folder(spark, "spool-table")
+    name = f"spool_{path.rsplit('-', 1)[1]}"
+    files.write_spool_table(s.where("seq % 2 = 1 and seq % 3 = 0"), name, path, 16)
+    return admission.admit_to_table(s.where("seq % 2 = 0"), name, 16, "seq").select("scope", "seq", "admission_id")
+
+
 @query(f"with {_SPOOL} select scope, seq from spool where seq % 4 <> 1")
 def j4_backlog(spark: SparkSession, d: str) -> DataFrame:
     s = spool(spark, d)

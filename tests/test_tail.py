@@ -5,7 +5,7 @@ import tempfile
 
 import pytest
 
-from fleetgrain.operators import evidence, logs
+from fleetgrain.operators import admission, evidence, logs
 from fleetgrain.sources import files, tail
 
 
@@ -111,3 +111,19 @@ def test_sketches_add_up_within_their_error(spark):
     exact = {(r.g): r.n for r in rows.where("day >= 5 and day < 15").groupBy("g").agg(F.count_distinct("v").alias("n")).collect()}
     for r in evidence.merged_distinct(sketches, ["g"], ["v"], 5, 15).collect():
         assert abs(r.v - exact[r.g]) <= exact[r.g] * evidence.SKETCH_ERROR and r.n == 10_000
+
+
+def test_admission_to_a_table_never_shuffles_its_history(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([("s", i, k) for k, i in enumerate(ids)], "scope string, admission_id string, arrival long")
+    files.write_spool_table(rows("a", "b"), "spool_of_test", f"file://{tmp_path}/spool", 8)
+    files.write_spool_table(rows("c"), "spool_of_test", f"file://{tmp_path}/spool", 8)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    new = admission.admit_to_table(rows("c", "d", "d", "e"), "spool_of_test", 8)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.admission_id, r.arrival) for r in new.collect())
+    spark.conf.set(key, before)
+    spark.sql("drop table spool_of_test")
+    assert got == [("d", 1), ("e", 3)]
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 8" in plan
