@@ -1,13 +1,16 @@
 """Language identification: script ranges narrow a word's candidates, Viterbi over per-word scores labels spans.
 
 A word's score for a language is the mean log-probability of its byte trigrams (with word ends) and of the word itself in that
-language, learned from labelled texts with add-one smoothing over hashed tables of fixed size. A word's script (by ranges of
+language, learned from labelled texts with add-one smoothing over the trigrams and word hashes that the sample has (no two share a row). A word's script (by ranges of
 code points) leaves only the languages in whose labelled texts at least SCRIPT_SHARE of the letters have that script; a word in a script of no language
 is scored alike for all. Over the words of a text, the best path of languages pays SWITCH for every change; its runs are the
 spans, and the language with the most letters on the path is the text's.
 
 Learning: of each language about ``rows`` texts (those whose hash of the id is small enough), a bound that keeps the tables' counts small;
-the tables' size depends on the number of languages only. Counting is Spark aggregation.
+the tables grow with the vocabulary of these texts, not with the corpus. Counting is Spark aggregation.
+
+Ties: of paths equally good a word takes the language that stays, else the first by name; of languages with equally many letters the first by name is the text's. A
+very long text is one vectorised step of a task and goes on word by word, in linear time. Empty tables give no rows, or, as training texts, no model. Other columns aren't read.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Null languages are not learned from. A null doc_id is
 labelled but never learned from. Without any labelled text every text is `und`. Repeated rows are labelled alike.
@@ -25,8 +28,6 @@ from pyspark.sql import functions as F
 from . import common
 
 ROWS = 3000
-TRIGRAMS = 1 << 16
-WORDS = 1 << 18
 SWITCH = 3.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -67,38 +68,75 @@ class Words:
             self.script[high] = _SCRIPT[np.searchsorted(_FROM, point, "right") - 1]
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of the trigram around each byte of a word, and the word of each."""
+        """The trigram around each byte of a word, as a number below 2^24, and the word of each; a text's bounds are as blanks."""
         index = np.flatnonzero(self.low)
-        padded = np.zeros(len(self.low) + 2, np.uint32)
+        padded = np.zeros(len(self.low) + 2, np.int64)
         padded[1:-1] = self.low
-        slot = padded[index] * np.uint32(0x9E3779B1) + padded[index + 1] * np.uint32(0x85EBCA77) + padded[index + 2] * np.uint32(0xC2B2AE3D)
-        slot ^= slot >> np.uint32(15)
-        return (slot & np.uint32(TRIGRAMS - 1)).astype(np.int64), np.repeat(np.arange(len(self.starts)), self.size)
+        bound = np.zeros(len(self.low) + 1, bool)
+        bound[self.at] = True
+        before, after = np.where(bound[index], 0, padded[index]), np.where(bound[index + 1], 0, padded[index + 2])
+        return before << 16 | padded[index + 1] << 8 | after, np.repeat(np.arange(len(self.starts)), self.size)
 
-    def slots(self) -> np.ndarray:
-        return (common.span_hashes(self.low, self.starts, self.ends) & np.uint64(WORDS - 1)).astype(np.int64)
+    def keys(self) -> np.ndarray:
+        """The hash of each word."""
+        return common.span_hashes(self.low, self.starts, self.ends).view(np.int64)
 
 
 class Model:
-    def __init__(self, languages: list[str], trigrams: np.ndarray, words: np.ndarray, scripts: np.ndarray):
-        """Counts by (slot or script, language)."""
+    """Counts by real keys, of trigrams and words: those that the sample has, in ascending order.
+
+    The words' table is sparse: of a key only the languages that have it. A key that no language has counts 0 in all.
+    """
+
+    def __init__(self, languages: list[str], trigrams: tuple, words: tuple, scripts: np.ndarray):
+        """trigrams and words: keys, languages (by place) and counts, a row each; scripts: counts by (script, language)."""
         self.languages = languages
-        self.trigrams = np.log((trigrams + 1) / (trigrams.sum(0) + TRIGRAMS)).astype(np.float32)
-        self.words = np.log((words + 1) / (words.sum(0) + WORDS)).astype(np.float32)
+        key, k, n = trigrams
+        self.trigram_keys = np.unique(key)
+        counts = np.zeros((len(self.trigram_keys) + 1, len(languages)))  # the last row: any other
+        counts[np.searchsorted(self.trigram_keys, key), k] = n
+        self.trigrams = np.log((counts + 1) / (counts.sum(0) + len(counts))).astype(np.float32)
+        key, k, n = words
+        order = np.argsort(key, kind="stable")
+        self.word_keys, first = np.unique(key[order], return_index=True)
+        self.word_at = np.append(first, len(order))
+        self.word_language, self.word_more = k[order], np.log1p(n[order]).astype(np.float32)
+        sizes = np.bincount(k, n, len(languages))
+        self.word_base = -np.log(sizes + len(self.word_keys) + 1).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(0), 1)
         self.allowed = share >= SCRIPT_SHARE
+        self._row: np.ndarray | None = None
+
+    def rows(self, trigrams: np.ndarray) -> np.ndarray:
+        """The row of each trigram; the table that tells is made where it is used."""
+        if self._row is None:
+            self._row = np.full(1 << 24, len(self.trigram_keys), np.int32)
+            self._row[self.trigram_keys] = np.arange(len(self.trigram_keys))
+        return self._row[trigrams]
+
+    def whole(self, keys: np.ndarray) -> np.ndarray:
+        """(words, languages): the log-probability of each word as a whole."""
+        out = np.repeat(self.word_base[None], len(keys), 0)
+        if not len(self.word_keys):
+            return out
+        at = np.minimum(np.searchsorted(self.word_keys, keys), len(self.word_keys) - 1)
+        known = np.flatnonzero(self.word_keys[at] == keys)
+        at = at[known]
+        many = self.word_at[at + 1] - self.word_at[at]
+        word = np.repeat(known, many)
+        entry = np.repeat(self.word_at[at] - np.append(0, np.cumsum(many))[:-1], many) + np.arange(len(word))
+        out[word, self.word_language[entry]] += self.word_more[entry]
+        return out
 
     def word_scores(self, words: Words) -> np.ndarray:
         """(words, languages): the mean log-probability of the features; what the script rules out is far below."""
-        slot, of = words.trigrams()
+        row = self.rows(words.trigrams()[0])
         n = len(words.starts)
-        out = np.empty((n, len(self.languages)), np.float32)
+        out = self.whole(words.keys())
         first = np.append(0, np.cumsum(words.size))[:-1]
-        whole = words.slots()
-        for k in range(len(self.languages)):
-            out[:, k] = np.add.reduceat(self.trigrams[slot, k], first) if n else 0
+        for k in range(len(self.languages) if n else 0):
             # a word as a whole weighs as much as its trigrams together
-            out[:, k] = 2 * out[:, k] / words.size + self.words[whole, k]
+            out[:, k] += 2 * np.add.reduceat(self.trigrams[row, k], first) / words.size
         some = self.allowed.any(1)[words.script]
         out[~some] = 0
         out[some] -= np.where(self.allowed[words.script[some]], 0, 50).astype(np.float32)
@@ -186,27 +224,23 @@ def learn(documents: DataFrame, rows: int = ROWS) -> Model | None:
     sample = given.where(drawn).select("text", place[F.col("lang")].cast("int").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], np.ndarray] = {}
         for batch in common.slices(batches):
             words = Words(batch)
             of = common.col(batch, "k").to_numpy()[words.owner] if len(words.owner) else np.zeros(0, np.int64)
-            slot, word = words.trigrams()
+            trigram, word = words.trigrams()
             for k in np.unique(of).tolist():
                 mine = of == k
-                for kind, got, size in ((0, slot[mine[word]], TRIGRAMS), (1, words.slots()[mine], WORDS), (2, words.script[mine], len(SCRIPTS))):
-                    key = (kind, k)
-                    counts[key] = counts.get(key, 0) + np.bincount(got, minlength=size)
-        for (kind, k), n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["kind", "k", "slot", "n"])
-
-    got = sample.mapInArrow(run, "kind int, k int, slot int, n long").groupBy("kind", "k", "slot").agg(F.sum("n").alias("n")).toArrow()
-    kind, k, slot, n = (got.column(c).to_numpy() for c in ("kind", "k", "slot", "n"))
-    tables = [np.zeros((size, len(languages))) for size in (TRIGRAMS, WORDS, len(SCRIPTS))]
-    for t, counts in enumerate(tables):
-        mine = kind == t
-        counts[slot[mine], k[mine]] = n[mine]
-    return Model(languages, *tables)
+                for kind, got in ((0, trigram[mine[word]]), (1, words.keys()[mine]), (2, words.script[mine])):
+                    key, n = np.unique(got, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(np.full(len(key), k, np.int32)), pa.array(key.astype(np.int64)), pa.array(n)], names=["kind", "k", "key", "n"])
+
+    # as large as the sample's vocabulary: about rows texts a language
+    got = sample.mapInArrow(run, "kind int, k int, key long, n long").groupBy("kind", "k", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, k, key, n = (got.column(c).to_numpy() for c in ("kind", "k", "key", "n"))
+    trigrams, words, scripts = ((key[kind == t], k[kind == t], n[kind == t]) for t in range(3))
+    table = np.zeros((len(SCRIPTS), len(languages)))
+    table[scripts[0], scripts[1]] = scripts[2]
+    return Model(languages, trigrams, words, table)
 
 
 def labelled(documents: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -369,7 +370,7 @@ def test_paths_equal_plain_viterbi(monkeypatch, few):
 
 def test_long_texts_are_labelled_in_linear_time():
     rows = pa.table({"text": ["the cat and the dog " * 60_000], "letters": [True], "doc_id": [1]})
-    model = language.Model(["a", "b"], np.ones((language.TRIGRAMS, 2)), np.ones((language.WORDS, 2)), np.ones((len(language.SCRIPTS), 2)))
+    model = language.Model(["a", "b"], *[(np.array([5, 5]), np.array([0, 1]), np.array([1, 1]))] * 2, np.ones((len(language.SCRIPTS), 2)))
     began = time.time()
     assert len(model.path(language.Words(rows.to_batches()[0]))) == 300_000 and time.time() - began < 4
 
@@ -823,3 +824,38 @@ def test_texts_without_quotes_stay_as_they_are(spark):
     rows = [(1, 0, "u", "  indented code\n"), (1, 1, "u", "> indented code\n\n  answer "), (1, 2, "u", " a > b "), (1, 3, "u", None), (1, 4, "u", " \t> all quoted")]
     got = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
     assert [r.text for r in got] == ["  indented code\n", "\n  answer", " a > b ", None, ""]
+
+
+def test_word_scores_equal_plain_counting(spark):
+    """Learning and the scores of words, by dictionaries over real keys."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abéцß") for _ in range(rng.randint(1, 5)))
+    vocabulary = {lang: [word() for _ in range(25)] for lang in ("x", "y", "z")}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(20)), lang) for i, lang in enumerate(rng.choices("xyz", k=60))]
+    model = language.learn(spark.createDataFrame([*rows, (None, "a", "x"), (99, None, "y"), (98, "b", None)], "doc_id long, text string, lang string"))
+    languages = sorted({r[2] for r in rows})
+    words = {lang: Counter() for lang in languages}
+    grams = {lang: Counter() for lang in languages}
+    around = lambda w: [(b"\0" + w + b"\0")[i : i + 3] for i in range(len(w))]
+    for _, text, lang in rows:
+        for w in text.encode().split():
+            words[lang][w] += 1
+            grams[lang].update(around(w))
+    v, g = len(set().union(*words.values())) + 1, len(set().union(*grams.values())) + 1
+    tested = [word().encode() for _ in range(30)] + [rng.choice(vocabulary["x"]).encode() for _ in range(30)]
+    got = model.whole(language.Words(pa.RecordBatch.from_arrays([pa.array([b" ".join(tested).decode()])], names=["text"])).keys())
+    scores = model.word_scores(language.Words(pa.RecordBatch.from_arrays([pa.array([b" ".join(tested).decode()])], names=["text"])))
+    ruled = ~model.allowed
+    for i, w in enumerate(tested):
+        for k, lang in enumerate(languages):
+            whole = np.log((words[lang][w] + 1) / (sum(words[lang].values()) + v))
+            mean = sum(np.log((grams[lang][t] + 1) / (sum(grams[lang].values()) + g)) for t in around(w)) / len(w)
+            assert got[i, k] == pytest.approx(whole, abs=1e-4)
+            if not ruled.any():
+                assert scores[i, k] == pytest.approx(whole + 2 * mean, abs=1e-3)
+
+
+def test_languages_of_no_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, words int")
+    assert language.learn(empty) is None and language.labelled(empty, None).count() == 0
+    assert language.labelled(empty, language.learn(spark.createDataFrame([(1, "ab", "x")], "doc_id long, text string, lang string"))).count() == 0
