@@ -162,3 +162,62 @@ def test_odd_tables(spark):
 def test_held_out_texts_of_the_table(spark, small):
     got = scoring.op12_scoring(spark, small).where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n"), F.avg("bits_per_byte").alias("b")).first()
     assert got.n > 0 and got.b < 3.2  # bytes alone take some 4.3 bits
+
+
+def test_texts_equal_a_plain_coder_across_words(spark):
+    """A bit's contexts reach over the blank into the words before; each text is coded as one string of bytes."""
+    rng = random.Random(6)
+    known = ["".join(rng.choice("abü") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    texts = [" ".join(rng.choice(known) for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["a b", "b a", "", "\x00 \x00a", "ab" * 30 + " a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    learn = F.col("doc_id") % 3 != 0
+    got = {r.doc_id: r.score for r in scoring.scored(docs, learn).collect()}
+    for hot in (40, 1):  # with joined heads
+        assert {r.doc_id: pytest.approx(r.score) for r in scoring.scored(docs, learn, hot_words=hot).collect()} == got
+    held = common.stored(scoring.vocabulary(docs, learn).withColumn("part", F.lit(0)), "test")
+    made = scoring.model(held.where("word is not null").select("part", "word", "n"), held.where("word is null").select("part", "key", "n"))
+
+    streams = [b"\0\0\0 " + b"".join(w + b" " for w in [*words_of(t), b"\n"]) for t in texts]
+    begins = [[4 + sum(len(w) + 1 for w in [*words_of(t), b"\n"][:k]) for k in range(len(words_of(t)) + 1)] for t in texts]
+    tables, begun = [Counter() for _ in range(scoring.ORDERS)], Counter()
+
+    def context(order, data, at):
+        h = int.from_bytes(data[at - order : at], "big")
+        return h if order == 1 else (h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - scoring.CONTEXT_BITS
+
+    for i, data in enumerate(streams):
+        if i % 3 == 0:
+            continue
+        for at in range(4, len(data)):
+            for order in range(1, scoring.ORDERS + 1):
+                for j in range(9):
+                    tables[order - 1][context(order, data, at), bits_of(data[at : at + 1])[:j]] += 1
+        for a, b in zip(begins[i], [*begins[i][1:], len(data)]):
+            word = bits_of(data[a : min(b, a + scoring.PREFIX)])
+            begun.update(word[:k] for k in range(len(word) + 1))
+    for i in [*range(0, 60, 7), *range(60, len(texts))]:
+        data, total = streams[i], 0.0
+        for at in range(4, len(data)):
+            first = max(b for b in begins[i] if b <= at)
+            byte = bits_of(data[at : at + 1])
+            for j in range(8):
+                odds, seen = [], 0
+                for order in range(1, scoring.ORDERS + 1):
+                    c = context(order, data, at)
+                    here, above = tables[order - 1][c, byte[: j + 1]], tables[order - 1][c, byte[:j]]
+                    odds.append(np.float64(np.float16(np.float32(math.log((here + 0.4) / (above - here + 0.4))))))
+                if at - first < scoring.PREFIX:
+                    s = bits_of(data[first:at]) + byte[:j]
+                    seen, here = begun[s], begun[s + byte[j]]
+                    odds.append(np.float64(np.float32(math.log((here + 0.4) / (seen - here + 0.4)))))
+                else:
+                    odds.append(0.0)
+                gate = min(int(math.log2(seen + 1)), scoring.CONFIDENCES - 1) + scoring.CONFIDENCES * (at - first < scoring.HEAD)
+                x = float(np.dot(made.weights[gate * 8 + j], odds))
+                p, x = 1 / (1 + math.exp(-x)), x if byte[j] == "1" else -x
+                place = (min(max(x, -7.999), 7.999) + 8) * (scoring.BINS - 1) / 16
+                low = int(place)
+                one = (1 - place + low) * made.map[gate * scoring.BINS + low] + (place - low) * made.map[gate * scoring.BINS + low + 1]
+                total += math.log10((p + (one if byte[j] == "1" else 1 - one)) / 2)
+        assert got[i] == pytest.approx(total, rel=1e-4)
+    assert abs(got[60] - got[61]) > 1e-3  # the same words in another order
