@@ -11,12 +11,13 @@ NODE_FINGERPRINTS; a single value with more is dealt again by the node pairs of
 inside the task over sorted arrays, where a node is a range. What decides the groups is a count per value of a block, at most
 BLOCKS * 2^13 numbers whatever the corpus is.
 
-A task does not return the pairs it finds but a spanning forest of them (at most one row per fingerprint), so a large group of
+A task does not return all pairs it finds but a spanning forest of them (at most one row per fingerprint, each a pair within the budget), so a large group of
 near copies makes no square number of rows. The forests are joined by label exchange between the edges' ends (large star and
 small star), each round written to the shared folder; nodes with very many edges are joined by broadcast (common.by_key).
 
-The pipeline's stage has a rule of its own, five-word shingles at a Jaccard similarity of 0.8 or more, which 64-bit fingerprints
-find too seldom: see near_copies.
+The pipeline's stage has a rule of its own, five-word shingles at a Jaccard similarity of 0.8 or more. Its documents go through the same
+trie self-join, with fingerprints of five-word shingles and STAGE_BUDGET bits, and its pairs are confirmed by the exact sets. Fingerprints of 64 bits miss
+most pairs just above 0.8, so what the trie leaves apart is compared by bands and an exact join: see near_copies.
 
 Nulls: a null text has no words; a null doc_id is kept with its fingerprint and never names a component (a component of null
 ids only has a null component_id). Texts without words have fingerprint zero and are linked like any other. Repeated rows get
@@ -95,10 +96,11 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
 
 
 class Forest:
-    """Components of the pairs seen so far, by least index."""
+    """Components of the pairs seen so far, by least index, and the pair that joined each index to a lesser one."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.pair = np.zeros((n, 2), np.int64)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -107,7 +109,10 @@ class Forest:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.root, high, low)
+            won = np.flatnonzero(self.root[high] == low)
+            self.pair[high[won], 0], self.pair[high[won], 1] = i[won], j[won]
             self.root[:] = self.root[self.root]
             while True:
                 up = self.root[self.root]
@@ -117,7 +122,7 @@ class Forest:
 
 
 def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget: int = BUDGET, exact: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, root) of a spanning forest over all pairs within budget of two nodes at depth, or of one node (b is None).
+    """Edges (i, j), each a pair within budget, of a spanning forest over all pairs within budget of two nodes at depth, or of one node (b is None).
 
     a and b are the nodes' sorted distinct fingerprints (uint64), spent the bits in which the nodes' paths differ. Of pairs that differ in
     the first exact bits none is needed, so the walk doesn't follow them. Indices count through a, then b.
@@ -174,7 +179,7 @@ def linked(a: np.ndarray, b: np.ndarray | None, depth: int, spent: int, budget:
         if len(nxt):
             stack.append((depth + 1, nxt))
     child = np.flatnonzero(forest.root != np.arange(len(both)))
-    return child, forest.root[child]
+    return forest.pair[child, 0], forest.pair[child, 1]
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -196,7 +201,7 @@ def _groups(counts: list[tuple[int, int, int]], at_most: int) -> list[tuple[int,
 
 
 def edges(distinct: DataFrame, count: int, budget: int = BUDGET, at_most: int = NODE_FINGERPRINTS) -> DataFrame:
-    """Links (u, v) between fingerprints such that two are connected if and only if a chain within budget connects them.
+    """Links (u, v) between fingerprints within budget such that two are connected if and only if a chain within budget connects them.
 
     distinct: a stored table of the distinct fingerprints fp, count of them.
     """
@@ -222,18 +227,18 @@ def edges(distinct: DataFrame, count: int, budget: int = BUDGET, at_most: int =
         first, width = blocks[block]
         fps = np.sort(t.column("turned").to_numpy().view(np.uint64))
         if low == high:
-            at, root = linked(fps, None, width + levels if levels else 0, 0, budget, width)
+            at, other = linked(fps, None, width + levels if levels else 0, 0, budget, width)
         else:
             depth = width + levels
             shared = int(fps[0]) >> (64 - width)
             cut = int(np.searchsorted(fps, np.uint64((shared << levels | high) << (64 - depth))))
             if cut in (0, len(fps)):
-                at = root = np.zeros(0, np.int64)
+                at = other = np.zeros(0, np.int64)
             else:
-                at, root = linked(fps[:cut], fps[cut:], depth, (low ^ high).bit_count(), budget, width)
+                at, other = linked(fps[:cut], fps[cut:], depth, (low ^ high).bit_count(), budget, width)
         back = fps >> np.uint64(first) | fps << np.uint64(64 - first) if first else fps
         back = back.view(np.int64)
-        return pa.table({"u": back[at], "v": back[root]})
+        return pa.table({"u": back[at], "v": back[other]})
 
     return dealt.groupBy("block", "group", "levels", "value", "low", "high").applyInArrow(join, "u long, v long")
 
@@ -299,6 +304,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Fixed values of the stage: near copies have a Jaccard similarity of SIMILAR or more over their sets of STAGE_SHINGLE-word shingles.
 STAGE_SHINGLE = 5
 SIMILAR = 0.8
+#: Bits in which the stage's fingerprints may differ in the trie's self-join.
+STAGE_BUDGET = 6
 #: Bands of the min-hash signature and values in each: two texts of similarity s share a band with odds 1 - (1 - s^WIDTH)^BANDS.
 BANDS = 20
 WIDTH = 5
@@ -343,8 +350,20 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, shingle: int = STAGE_SHINGLE)
     return h[once], np.searchsorted(owner[once], np.arange(docs + 1))
 
 
+def set_fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits that more than half of each document's distinct shingles have."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ones = np.zeros((len(at) - 1, 64), np.int64)
+    for k in range(0, len(h), 1 << 14):
+        of = owner[k : k + (1 << 14)]
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        bits = np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[of[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def _sketches(documents: DataFrame) -> DataFrame:
-    """_row, doc_id, same (a hash of the whole shingle set) and bands (key, tail) of each document; no bands without words."""
+    """_row, doc_id, same (a hash of the whole shingle set), fp and bands (key, tail) of each document; no bands without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -365,9 +384,25 @@ def _sketches(documents: DataFrame) -> DataFrame:
                 offsets[full + 1] = BANDS
                 offsets = np.cumsum(offsets, dtype=np.int32)
             pairs = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(tails.view(np.int64))], names=["key", "tail"])
-            yield pa.RecordBatch.from_arrays([common.col(batch, "_row"), common.col(batch, "doc_id"), pa.array(same.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["_row", "doc_id", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([common.col(batch, "_row"), common.col(batch, "doc_id"), pa.array(same.view(np.int64)), pa.array(set_fingerprints(h, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["_row", "doc_id", "same", "fp", "bands"])
+
+    return documents.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, same long, fp long, bands array<struct<key:long,tail:long>>")
+
 
-    return documents.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, doc_id long, same long, bands array<struct<key:long,tail:long>>")
+def trie_pairs(nodes: DataFrame) -> DataFrame:
+    """u, v: candidates among nodes (same, fp) from the trie's self-join; of equal fingerprints each node with the least."""
+    of_fp = common.stored(nodes.groupBy("fp").agg(F.min("same").alias("first")), "near-fingerprints")
+    count = of_fp.count()
+    links = common.stored(edges(of_fp.select("fp"), count, STAGE_BUDGET), "near-trie")
+
+    def first(fp: str, name: str) -> DataFrame:
+        some = of_fp.toDF(fp, name)
+        return F.broadcast(some) if count <= common.BROADCAST_ROWS else some
+
+    alike = nodes.select("same", "fp").join(first("fp", "first"), "fp").select("same", "first")
+    near = links.join(first("u", "a"), "u").join(first("v", "b"), "v").select("a", "b")
+    pairs = alike.union(near).toDF("u", "v").where("u <> v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -424,14 +459,16 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 def near_copies(documents: DataFrame) -> DataFrame:
     """_row, doc_id and group of each document (_row, doc_id, text): near copies, or chains of them, are of one group.
 
-    Equal shingle sets are one node. Nodes that share a band of their signatures are candidates: each with the FOLLOWERS after
+    Equal shingle sets are one node. Nodes first meet in the trie's self-join over their fingerprints; what its confirmed pairs join needs no other
+    comparison. For what it leaves apart, nodes that share a band of their signatures are candidates: each with the FOLLOWERS after
     it in its bucket, so a large bucket makes no square number of rows. Candidates are confirmed by the exact similarity of
     their shingle sets, in equi-joins. A bucket with more members has pairs that were not compared; unless all of its members are of one
     component by then, they go through an exact join by prefixes (prefix_pairs). Documents without words are equal.
     """
     common.small_batches(documents.sparkSession)
     rows = common.stored(_sketches(documents), "near-sketches")
-    nodes = common.stored(rows.where("size(bands) > 0").groupBy("same").agg(F.min("_row").alias("_row"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = common.stored(rows.where("size(bands) > 0").groupBy("same").agg(F.min("_row").alias("_row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    tried = common.stored(trie_pairs(nodes), "near-tried")
     banded = nodes.select("same", F.posexplode("bands").alias("band", "b")).select("same", "band", "b.key", "b.tail")
     bucket = Window.partitionBy("key", "deal")
     after = bucket.orderBy("tail", "same").rowsBetween(1, FOLLOWERS)
@@ -440,7 +477,8 @@ def near_copies(documents: DataFrame) -> DataFrame:
     followed = met.select("same", "band", F.posexplode("next").alias("nth", "other"))
     soon = (F.col("nth") == 0) & (F.col("band") < FIRST_BANDS)
     pairs = common.stored(followed.groupBy(F.least("same", "other").alias("u"), F.greatest("same", "other").alias("v")).agg(F.max(soon).alias("soon")), "near-pairs")
-    held = common.stored(met.select("same").distinct().join(nodes.select("same", "_row"), "same"), "near-held")
+    named = met.select("same").union(tried.select("u")).union(tried.select("v")).distinct()
+    held = common.stored(named.join(nodes.select("same", "_row"), "same"), "near-held")
     # their texts are found by row number, without a shuffle of texts while there are few enough
     texts = documents.select("_row", "text").join(F.broadcast(held) if held.count() <= common.BROADCAST_ROWS else held, "_row")
     sets = common.stored(_sets(texts), "near-sets")
@@ -456,11 +494,13 @@ def near_copies(documents: DataFrame) -> DataFrame:
         stars = root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         return common.stored(components(stars.union(common.stored(confirmed(some), "near-links"))), "near-roots")
 
-    links = common.stored(confirmed(pairs.where("soon")), "near-links")
-    root = common.stored(components(links), "near-roots")
-    of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
-    apart = pairs.where("not soon").join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    root = joined(root, apart.select("u", "v"))
+    def apart(root: DataFrame, some: DataFrame) -> DataFrame:
+        of = [root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
+        return some.join(of[0], "u", "left").join(of[1], "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    root = common.stored(components(common.stored(confirmed(tried), "near-links")), "near-roots")
+    for some in (pairs.where("soon"), pairs.where("not soon")):
+        root = joined(root, apart(root, some))
     large = met.where((F.col("n") > FOLLOWERS + 1) | (F.col("deal") > 0)).select("same", "key")
     crowd = common.stored(_crowd(large, root), "near-crowd")
     if crowd.count():

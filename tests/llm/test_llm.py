@@ -237,6 +237,33 @@ def test_stage_joins_near_copies_of_five_word_shingles(spark):
     assert len(pairs) > 200 and sorted(r.doc_id for r in kept) == sorted(set(f.root.tolist()))
 
 
+def test_trie_returns_pairs_within_the_budget():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 20, np.uint64)
+    x = np.unique(np.concatenate([base ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, k, False)), np.uint64(0)) for k in range(7) for _ in range(8)]))
+    i, j = simhash.linked(x, None, 0, 0)
+    assert len(i) > 100 and (np.bitwise_count(x[i] ^ x[j]) <= simhash.BUDGET).all()
+
+
+def test_set_fingerprints_equal_plain_counting():
+    h = np.random.default_rng(5).integers(0, 1 << 63, 40_000, np.uint64) * np.uint64(2) + np.uint64(1)
+    at = np.array([0, 0, 1, 3, 90, 39_000, 39_000, 40_000])
+    want = [sum((2 * int((h[a:b] >> np.uint64(k) & np.uint64(1)).sum()) > b - a) << k for k in range(64)) for a, b in zip(at.tolist(), at[1:].tolist())]
+    assert simhash.set_fingerprints(h, at).tolist() == want
+
+
+def test_stage_joins_by_the_trie(spark, monkeypatch):
+    """Near copies meet in the trie's self-join, without any band."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(20):
+        w = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(300)]
+        texts += [" ".join(w), " ".join(["x", *w[1:]]), " ".join([*w, "y"])]
+    monkeypatch.setattr(simhash, "_dealt", lambda banded, total: banded.limit(0).withColumn("deal", F.lit(0)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(spark, rows, "").collect()) == list(range(0, 60, 3))
+
+
 # ---- 3
 
 
