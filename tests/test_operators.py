@@ -219,6 +219,33 @@ def test_caps_do_not_shuffle(spark, small):
     assert one == two
 
 
+def test_devices_come_by_one_shuffle_of_lines(spark, small):
+    from fleetgrain.plans import catalog
+    from fleetgrain.sources import tables
+
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles(tables.snapshots(spark, small)) == 2
+        # readings by host, then by snapshot, and the lines
+        assert shuffles(catalog.QUERIES["t4_cap_sample"](spark, small)) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_a_device_with_nulls(spark, tmp_path):
+    from fleetgrain.sources import tables
+
+    spark.createDataFrame([(1, 10, 2, None), (1, 5, 7, 2), (1, None, 3, 2), (1, None, None, None)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = spark.createDataFrame([(1,), (2,)], "observed_us long")
+    got = {r.observed_us: r for r in tables.devices(tables.with_lines(rows, spark, str(tmp_path))).collect()}
+    assert got[2].disks is got[2].nets is got[2].mounts is None
+    assert {(d.name, d.read_count, d.write_count, d.in_progress) for d in got[1].disks} == {("sd2", 5, 10, 2), (None, 10, 2, 2)}
+    assert {(n.name, n.rx_packets, n.tx_packets, n.rx_errs) for n in got[1].nets} == {("eth2", 15, 9, 2), ("eth3", None, 3, 1), (None, None, None, 1)}
+    assert {(m.mountpoint, m.device, m.used, m.free) for m in got[1].mounts} == {("/mnt2", "dev5", 7, 5), ("/mnt2", None, 3, None), (None, "dev10", 2, 10), (None, None, None, None)}
+
+
 def test_sample_without_a_cpu_reading(spark):
     schema = """host long, observed_us long, start_us long, cpu array<double>, mem struct<total:long,available:long>, load struct<l1:double,l5:double,l15:double>, disks array<struct<name:string,read_bytes:long,read_count:long,
     read_ms:long,write_bytes:long,write_count:long,write_ms:long,in_progress:long>>, nets array<struct<name:string,rx_bytes:long,tx_bytes:long,rx_packets:long,tx_packets:long,rx_errs:long,tx_errs:long,rx_drops:long,tx_drops:long>>,
