@@ -292,3 +292,18 @@ def test_counters_of_both_signals(spark):
     report = {(r.host, r.minute_us): r for r in delivery.minute_report(delivery.report_increments(rows, more, ["host", "us"]), ["host"]).collect()}
     assert set(report) == {(1, 0), (1, 60_000_000), (None, 0)}
     assert (report[1, 0].retries, report[1, 60_000_000].retries, report[1, 0].logs_records_read, report[1, 60_000_000].logs_records_read) == (2, 1, 5, 0)
+
+
+def test_quota_goes_through_many_scopes_without_a_call_for_each(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(f"s{i}" if i else None, at, at if event == "put" else 2, event, 4096) for i in range(50) for at, event in ((1, "put"), (2, "put"), (3, "put"), (4, "ack"), (5, "put"))]
+    df = spark.createDataFrame(rows[::-1], "scope string, at long, seq long, event string, envelope_bytes long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # scopes go on from batch to batch
+    try:
+        out = admission.quota_admission(df, 2, 1 << 20)
+        got = sorted((r.scope or "", r.seq, r.admitted) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == sorted((f"s{i}" if i else "", seq, seq != 3) for i in range(50) for seq in (1, 2, 3, 5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
